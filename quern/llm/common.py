@@ -105,6 +105,70 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(x)
 
 
+class Bloom:
+    """A set of longs in a bit array of at most 8 MB: it may hold more than was put in, never less.
+
+    The array is gathered in slices, so nothing that grows with the ids reaches one task or the driver; a set too
+    large for it lets more through, and the exact join behind it decides.
+    """
+
+    MOST = 1 << 26
+    SLICES = 64
+
+    def __init__(self, ids: DataFrame) -> None:
+        """ids: one long column, read twice."""
+        n, slices = ids.count(), self.SLICES
+        size = 1 << 16
+        while size < min(self.MOST, 12 * n):
+            size *= 2
+        self.size = size
+
+        def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size, bool)
+            for b in it:
+                for at in self.places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                    bits[at] = True
+            yield _slices(range(slices), np.packbits(bits).reshape(slices, -1))
+
+        def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for b in it:
+                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found[k] = found.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
+            yield _slices(list(found), list(found.values()))
+
+        kind = "slice int, bits binary"
+        rows = ids.coalesce(16).mapInArrow(partial, kind).repartition(8, "slice").mapInArrow(total, kind).collect()
+        packed = np.zeros((slices, size // 8 // slices), np.uint8)
+        for r in rows:
+            packed[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
+        self.bits = packed.reshape(-1)
+
+    def places(self, ids: np.ndarray) -> list[np.ndarray]:
+        h = mixed(ids.view(U) + U(1))
+        return [((h >> U(s)) & U(self.size - 1)).astype(np.int64) for s in (0, 20, 38)]
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for at in self.places(ids):
+            out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def column(self, ids: Column) -> Column:
+        """Whether the set may hold an id; false for null."""
+
+        @F.arrow_udf("boolean")
+        def of(x: pa.Array) -> pa.Array:
+            found = self.has(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            return pa.array(found & x.is_valid().to_numpy(zero_copy_only=False))
+
+        return of(ids)
+
+
+def _slices(keys, rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["slice", "bits"])
+
+
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo: the fold of a row. A null id counts as held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(True))

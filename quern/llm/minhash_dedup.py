@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, batches, components, dropped, mixed, partitions, shingle_set, stored, words
+from .common import Bloom, U, WordHashes, batches, components, dropped, mixed, partitions, shingle_set, stored, words
 
 
 @dataclass(frozen=True)
@@ -210,21 +210,25 @@ def _confirmed(policy: Policy):
 
 
 def confirmed(classes: DataFrame, docs: DataFrame, policy: Policy) -> DataFrame:
-    """Edges (a, b) of links between sets of a class, confirmed on full sets computed from the texts."""
-    n = policy.shingle
-    schema = pa.schema([("key", pa.int64()), ("chunks", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
+    """Edges (a, b) of links between sets of a class, confirmed on full sets computed from the texts.
+
+    The sets are made where the texts are read, for ids that a Bloom filter of the classes lets through; only these move.
+    """
+    n, bloom = policy.shingle, Bloom(classes.select("id"))
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         memo = WordHashes()
         for b in it:
-            for key, chunks, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield key, chunks, i, shingle_set(memo.of(words(text)), n).tobytes()
+            ids = b.column(0).to_numpy()
+            for k in np.flatnonzero(bloom.has(ids)).tolist():
+                yield int(ids[k]), shingle_set(memo.of(words(b.column(1)[k].as_py())), n).tobytes()
 
     sized = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     chunks = F.greatest(F.ceil(F.col("m") / policy.block), F.ceil(F.col("total") * 8 / (policy.block_mb << 20)))
-    members = classes.join(sized, "component").select(F.col("component").alias("key"), chunks.cast("long").alias("chunks"), "id")
-    texts = docs.join(members, "id").select("key", "chunks", "id", F.col("text").cast("binary"))
-    found = texts.mapInArrow(lambda it: batches(schema, sets(it), 256), "key long, chunks long, id long, hashes binary")
+    members = classes.join(sized, "component").select(F.col("component").alias("key"), chunks.cast("long").alias("chunks"), "id", "n")
+    made = docs.select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, sets(it), 256), "id long, hashes binary")
+    found = made.join(members, "id").where("length(hashes) = 8 * n").select("key", "chunks", "id", "hashes")
     block = _blocks(found, "key", "chunks").select("key", "ci", "cj", "id", "hashes", "block")
     return block.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("key", "ci", "cj").select("key", "ci", "cj", "id", "hashes").mapInArrow(_confirmed(policy), "a long, b long")
 
@@ -255,10 +259,15 @@ def near_duplicates(docs: DataFrame, policy: Policy = Policy(), id_col: str = "d
 def deduplicated(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group of near duplicates: the one with the smallest id.
 
-    Columns are those of docs. Rows with a null id stay; a repeated row (same id, same text) stays once.
+    Columns are those of docs. Rows with a null id stay; a repeated row (same id, same text) stays once. Rows that a
+    Bloom filter of the ids to drop and the repeated ids doesn't know stay where they are; the others are joined.
     """
-    found = near_duplicates(docs, policy, id_col, text_col)
-    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    whole = docs.join(kept, docs[id_col].cast("long") == kept["__kept"])
-    once = whole.withColumn("__text", F.xxhash64(F.col(text_col))).dropDuplicates(["__kept", "__text"]).drop("__kept", "__text")
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    found = stored(near_duplicates(docs, policy, id_col, text_col), "found").where("id is not null")
+    out = stored(found.where("id <> component").select("id").union(found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")).distinct(), "suspects")
+    bloom = Bloom(out)
+    key = F.col(id_col).cast("long")
+    sure = docs.where(~bloom.column(key))
+    unsure = docs.where(bloom.column(key)).withColumns({"__id": key, "__text": F.xxhash64(F.col(text_col))})
+    gone = found.where("id <> component").select(F.col("id").alias("__id")).distinct()
+    rest = unsure.join(gone, "__id", "left_anti").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return sure.unionByName(rest)
