@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import best_fit_packing, minhash_dedup, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,36 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a file of a public tokenizer is; looked up when a query runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return best_fit_packing.packed(docs, vocabulary("word_bpe_49k.json"), 2048)
+
+
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return _predicted(toxicity.scored(docs, labels, (3, 1)), 0.7)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return _predicted(quality_rules.scored(docs, labels, (5, 0)), 0.3)
+
+
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality_rules": op10_quality_rules,
     "op2_minhash_dedup": op2_minhash_dedup,
 }
 
