@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, minhash_dedup, quality_rules, toxicity
+from . import best_fit_packing, html_main_text, minhash_dedup, quality_rules, text_sketch, toxicity, warc_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +45,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_rules.scored(docs, labels, (5, 0)), 0.3)
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+    return found.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+def op3_text_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sketch.fingerprinted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc_archive": op1_warc_archive,
+    "op3_text_sketch": op3_text_sketch,
+    "op9_html_main_text": op9_html_main_text,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op10_quality_rules": op10_quality_rules,
@@ -53,12 +69,23 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_archive": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h FROM pages
+), d AS (
+  SELECT page_id, body, min(page_id) OVER (PARTITION BY body) AS least, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(1 + 10 * (k // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > least THEN least END AS refers_to FROM d
+""",
     "op2_minhash_dedup": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i + 2], ' '))) END) AS g FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
