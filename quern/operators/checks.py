@@ -50,9 +50,11 @@ def file_digests(spark, path: str) -> DataFrame:
 def flat_config(configs: DataFrame, key: str, json: str) -> DataFrame:
     """(key, path, value): the entries of JSON objects, one level below the top as well."""
     kind = "map<string,string>"
-    top = configs.select(key, F.explode(F.from_json(json, kind)).alias("k", "v"))
-    inner = top.where("v LIKE '{%'").select(key, "k", F.explode(F.from_json("v", kind)).alias("k2", "v2"))
-    return top.where("v NOT LIKE '{%' OR v IS NULL").select(key, F.col("k").alias("path"), F.col("v").alias("value")).unionByName(inner.select(key, F.concat_ws(".", "k", "k2").alias("path"), F.col("v2").alias("value")))
+    top = configs.select(key, F.explode(F.from_json(json, kind)).alias("__k", "__v"))
+    nested = F.coalesce(F.col("__v").startswith("{"), F.lit(False))
+    inner = top.where(nested).select(key, "__k", F.explode(F.from_json("__v", kind)).alias("__k2", "__v2"))
+    plain = top.where(~nested).select(key, F.col("__k").alias("path"), F.col("__v").alias("value"))
+    return plain.unionByName(inner.select(key, F.concat_ws(".", "__k", "__k2").alias("path"), F.col("__v2").alias("value")))
 
 
 def config_changes(a: DataFrame, b: DataFrame, allowed: list[str]) -> DataFrame:
