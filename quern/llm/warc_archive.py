@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, stored
+from .common import Bloom, batches, shared_dir, stored
 
 CRLF = "\r\n"
 MARK = "WARC/1.1\r\n"
@@ -41,13 +41,18 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, digest, size, refers_to) of (page_id, url, html): where a page's payload equals that of a
     page with a smaller id and has `least` bytes or more, refers_to is the smallest such id.
 
-    Only pages that share a digest get a row in the joined table, one per digest however many share it.
+    Only digests that several pages have get a row in the joined table, and only pages whose digest a Bloom filter of
+    these lets through move to meet it; the others are written where they are read.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     whole = pages.select("page_id", "url", body.alias("html")).withColumns({"digest": base32(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html").cast("long")})
-    shared = whole.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
+    fit = whole.where((F.col("size") >= least) & F.col("page_id").isNotNull())
+    shared = stored(fit.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first"), "digests")
+    bloom = Bloom(shared.select(F.xxhash64("digest")))
+    may = bloom.column(F.xxhash64("digest"))
     refers = F.when((F.col("size") >= least) & (F.col("page_id") > F.col("first")), F.col("first"))
-    return whole.join(shared, "digest", "left").withColumn("refers_to", refers).drop("first")
+    alone = whole.where(~may).withColumn("refers_to", F.lit(None).cast("long"))
+    return alone.unionByName(whole.where(may).join(shared, "digest", "left").withColumn("refers_to", refers).drop("first"))
 
 
 def records(judged_pages: DataFrame) -> DataFrame:
