@@ -172,9 +172,9 @@ class Encoder(dict):
 
     def encode(self, text: str) -> tuple[bytes, float, int]:
         """Ids, score and number of byte ids of a whole text; an empty one has none."""
-        found = list(map(self.__getitem__, self.chunks(text.replace("\0", "��") if "\0" in text else text))) if "\0" not in text else [self.best(MARKER + text.replace(" ", MARKER))]
-        if not found:
+        if not text:
             return b"", 0.0, 0
+        found = [self.best(MARKER + text.replace(" ", MARKER))] if "\0" in text else list(map(self.__getitem__, self.chunks(text)))
         ids, scores, fallen = zip(*found, strict=True)
         return b"".join(ids), sum(scores), sum(fallen)
 
