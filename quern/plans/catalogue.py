@@ -27,7 +27,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; documents in fewer partitions than there are cores are dealt out, as their texts are the work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 # ---- SQL that several oracles begin with ------------------------------------------------------------------------------
@@ -149,6 +152,7 @@ def shingle_stats(spark, d):
 
 def _nodes(spark, d) -> DataFrame:
     own = _records(spark, d).groupBy("canonical").agg(F.min("doc_id").alias("id")).select("id", "canonical", F.length("canonical").alias("length"))
+    own = own.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
     return own.withColumn("anchors", T.sha_anchors(F.col("canonical")))
 
 
