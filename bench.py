@@ -10,7 +10,7 @@ from quern.plans import catalogue
 from quern.session import session
 
 HEADLINE = [
-    "clean_reason_counts", "clean_paragraphs", "quality_reasons", "exact_dedup", "near_dup_pairs", "benchmark_contamination",
+    "clean_reason_counts", "clean_paragraphs", "quality_reasons", "exact_dedup", "benchmark_contamination",
     "document_segments", "continuity_runs", "token_offsets", "packed_windows", "packing_statistics", "character_frequencies", "family_budget",
     "hash_rank_sample", "confusion_metrics", "threshold_sweep", "hamming_neighbours", "event_repetition", "shared_lines", "pii_counts", "pricing_summary",
 ]
