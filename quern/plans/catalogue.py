@@ -233,11 +233,29 @@ SELECT doc_id, CAST(segment AS BIGINT) AS segment, min(line_no) AS first_line, m
 FROM n WHERE NOT bad GROUP BY 1, 2 HAVING len(regexp_extract_all(string_agg(line, chr(10)), '[\p{{L}}\p{{M}}]')) >= 20"""
 )
 def document_segments(spark, d):
-    """G5 P10"""
+    """P10, and G5 before its quality tests: runs of allowed lines as candidates; quality_segments has those that stay."""
     found = clean.segments(table(spark, d, "documents"), boundary=lambda x: F.endswith(x, F.lit(":")), bad=lambda x: ~T.allowed(x, LATIN_STRICT), quality=False)
     return found.select("doc_id", "segment", "first_line", "last_line", "n_lines", F.sha2("text", 256).alias("digest"))
 
 
+_STACK = "list_reduce(list_prepend('', list_filter(string_split({0}, ''), lambda c: c IN ('(', ')'))), lambda s, c: CASE WHEN s = '!' THEN '!' WHEN c = '(' THEN s || '(' WHEN s <> '' THEN substr(s, 1, length(s) - 1) ELSE '!' END)"
+_UNIT = "len(list_filter(range(1, 17), lambda p: contains(array_to_string(list_transform(list_zip({0}[:-1 - p], {0}[p + 1:]), lambda z: CASE WHEN z[1] = z[2] THEN '1' ELSE '0' END), ''), repeat('1', 5 * p)))) > 0"
+
+
+# Artifacts hold full-width marks, which the Latin alphabet lacks; a unit has no line feed, so a line with one breaks first.
+@query(
+    rf"""WITH {SQL_LINES}, f AS (SELECT doc_id, line_no, line, CASE WHEN NOT regexp_full_match(line, '{_ALLOWED}') THEN true ELSE {_UNIT.format("string_split(line, '')")} END AS bad, right(line, 1) = ':' AS head FROM lines WHERE line <> ''),
+n AS (SELECT *, sum(CAST(bad OR head AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM f),
+g AS (SELECT doc_id, CAST(segment AS BIGINT) AS segment, min(line_no) AS first_line, max(line_no) AS last_line, CAST(count(*) AS INTEGER) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM n WHERE NOT bad GROUP BY 1, 2)
+SELECT doc_id, segment, first_line, last_line, n_lines, sha256(text) AS digest FROM g WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]')) >= 20
+  AND CASE WHEN regexp_matches(text, '^[,.;:!?)]') THEN 'leading_fragment' WHEN NOT regexp_matches(text, '[.!?)"'']$') THEN 'no_sentence_ending' WHEN {_STACK.format("text")} <> '' THEN 'unbalanced_delimiters' END IS NULL"""
+)
+def quality_segments(spark, d):
+    """All tests; repeated units break segments too, and only those without a quality reason stay."""
+    found = clean.segments(table(spark, d, "documents"), boundary=lambda x: F.endswith(x, F.lit(":")))
+    return found.select("doc_id", "segment", "first_line", "last_line", "n_lines", F.sha2("text", 256).alias("digest"))
+
+
 def _joined(spark, d) -> DataFrame:
     lines = clean.judged(table(spark, d, "documents")).withColumn("kept", F.col("reason").isNull())
     w = Window.partitionBy("doc_id").orderBy("line_no")
