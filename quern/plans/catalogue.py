@@ -524,12 +524,21 @@ def mean_item(spark, d):
 
 @query("WITH b AS (SELECT vec_id, array_to_string(list_transform(embedding[:8], lambda x: CAST(x > 0 AS INTEGER)), '') AS k FROM embeddings) SELECT k AS bits, count(*) AS n, min(vec_id) AS first_id, array_to_string(list_sort(list(vec_id)), ',') AS ids, dense_rank() OVER (ORDER BY k) - 1 AS unique_index FROM b GROUP BY k HAVING count(*) > 1")
 def collision_groups(spark, d):
-    """A22 A23 J13 J14"""
+    """Groups by the first eight signs alone, lists of all their ids: no collisions of whole bitmaps; bitmap_members has those."""
     key = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: (x > 0).cast("int").cast("string")), "")
     g = table(spark, d, "embeddings").select("vec_id", key.alias("bits")).groupBy("bits").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.array_sort(F.collect_list("vec_id")).alias("v")).where("n > 1")
     return g.select("bits", "n", "first_id", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("ids"), (F.dense_rank().over(Window.orderBy("bits")) - 1).cast("long").alias("unique_index"))
 
 
+@query("WITH b AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)), '') AS k FROM embeddings) SELECT vec_id, k AS bits, count(*) OVER (PARTITION BY k) AS n, min(vec_id) OVER (PARTITION BY k) AS first_id, dense_rank() OVER (ORDER BY k) - 1 AS unique_index FROM b")
+def bitmap_members(spark, d):
+    """Each item with its whole bitmap's number among the distinct ones, size and first item; n > 1 is a collision."""
+    key = F.array_join(F.transform("embedding", lambda x: (x > 0).cast("int").cast("string")), "")
+    own = table(spark, d, "embeddings").select("vec_id", key.alias("bits"))
+    g = own.groupBy("bits").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")).withColumn("one", F.lit(1))
+    return own.join(sequence.offsets(g, "bits", "one"), "bits").select("vec_id", "bits", "n", "first_id", F.col("offset").alias("unique_index"))
+
+
 @query("WITH f AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type AS fresh FROM events), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM f), n AS (SELECT user_id, r, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n) AS longest FROM n GROUP BY 1")
 def longest_event_run(spark, d):
     """W17"""

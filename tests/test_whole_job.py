@@ -19,3 +19,10 @@ def test_segments_pass_all_quality_tests(spark, tmp_path):
     texts = [GOOD, ", " + GOOD, GOOD[:-1], f"({GOOD}", f"{GOOD}\nabababababab.\n{GOOD}", f"{GOOD}\nAn (open\nmark) closed."]
     got = run(spark, tmp_path, "quality_segments", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert sorted((r.doc_id, r.first_line, r.last_line) for r in got) == [(0, 0, 0), (4, 0, 0), (4, 2, 2), (5, 0, 2)]
+
+
+def test_only_whole_bitmaps_collide(spark, tmp_path):
+    a = [1.0] * 64
+    rows = [(1, a, 0), (2, a[:-1] + [-1.0], 0), (3, [0.5] * 64, 0), (4, [-1.0] + a[1:], 0)]
+    got = run(spark, tmp_path, "bitmap_members", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert sorted((r.vec_id, r.n, r.first_id, r.unique_index) for r in got) == [(1, 2, 1, 2), (2, 1, 2, 1), (3, 2, 1, 2), (4, 1, 4, 0)]
