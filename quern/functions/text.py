@@ -80,7 +80,7 @@ def repeated_unit(x: Column, longest: int = 16, times: int = 6) -> Column:
 
 
 def spam(x: Column, phrases: tuple[str, ...]) -> Column:
-    return x.rlike("|".join(f"\\Q{p}\\E" for p in phrases)) if phrases else F.lit(False)
+    return x.rlike("(?i)" + "|".join(f"\\Q{p}\\E" for p in phrases)) if phrases else F.lit(False)
 
 
 def balanced(x: Column, pairs: dict[str, str]) -> Column:
@@ -101,13 +101,13 @@ def balanced(x: Column, pairs: dict[str, str]) -> Column:
     return F.aggregate(marks, F.lit(""), step) == ""
 
 
-def quality_reason(x: Column, policy: Policy, pairs: dict[str, str], phrases: tuple[str, ...] = ()) -> Column:
-    """The first failing test of five, or null."""
+def quality_reason(x: Column, policy: Policy, pairs: dict[str, str], phrases: tuple[str, ...] | None = None) -> Column:
+    """The first failing test of five, or null; phrases are the policy's unless given."""
     return (
         F.when(x.rlike(policy.fragment), "leading_fragment")
         .when(~x.rlike(policy.sentence_end), "no_sentence_ending")
         .when(repeated_unit(x), "repetition")
-        .when(spam(x, phrases), "boilerplate_or_spam")
+        .when(spam(x, policy.phrases if phrases is None else phrases), "boilerplate_or_spam")
         .when(~balanced(x, pairs), "unbalanced_delimiters")
     )
 

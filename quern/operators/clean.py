@@ -40,7 +40,7 @@ def segments(docs: DataFrame, policy: Policy = LATIN_STRICT, key: str = "doc_id"
     starts the next; only runs with `least` letters and no quality reason stay."""
     own = lines(docs, policy, key, text)
     line = F.col("line")
-    wrong = bad(line) if bad else ~T.allowed(line, policy) | T.artifact_reason(line).isNotNull() | T.repeated_unit(line)
+    wrong = bad(line) if bad else ~T.allowed(line, policy) | T.artifact_reason(line).isNotNull() | T.spam(line, policy.phrases) | T.repeated_unit(line)
     flagged = own.withColumns({"bad": wrong, "head": boundary(line) if boundary else T.boundary(line)})
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = flagged.withColumn("segment", F.sum((F.col("bad") | F.col("head")).cast("long")).over(order)).where("NOT bad")

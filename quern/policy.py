@@ -27,6 +27,7 @@ ARTIFACTS = {
 }
 # Phrases of advertising, keywords of subject fields, headings, matching delimiters.
 SPAM = ("扫码关注", "点击下载", "关注公众号", "加微信", "博彩", "色情网站", "免费领取", "免责声明")
+LATIN_SPAM = ("scan the code to follow", "click to download", "follow our account", "add us on wechat", "online gambling", "porn site", "claim it for free", "disclaimer")
 KEYWORDS = {
     "法律与公共事务": ("法院", "诉讼", "刑法", "民法", "司法", "判决", "法律", "立法"),
     "金融与经济": ("银行", "金融", "证券", "股东", "债券", "财务", "股票", "经济"),
@@ -55,11 +56,12 @@ class Policy:
     sentence_end: str = r"[.!?)\"']$"
     fragment: str = r"^[,.;:!?)]"
     full_width: bool = False
+    phrases: tuple[str, ...] = ()
 
     @property
     def allowed(self) -> str:
         return f"^[{self.letters}{self.marks}]+$"
 
 
-HAN_STRICT = Policy("han", HAN_RANGES, HAN_MARKS, full_width=True, sentence_end="[。！？；”’」』]$", fragment="^[，。！？；：、…—·]")
-LATIN_STRICT = Policy("latin", r"\p{L}\p{M}", r" ,.;:!?()'\"\-")
+HAN_STRICT = Policy("han", HAN_RANGES, HAN_MARKS, full_width=True, sentence_end="[。！？；”’」』]$", fragment="^[，。！？；：、…—·]", phrases=SPAM)
+LATIN_STRICT = Policy("latin", r"\p{L}\p{M}", r" ,.;:!?()'\"\-", phrases=LATIN_SPAM)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quern.operators import clean
 from quern.plans import catalogue
+from quern.policy import HAN_STRICT
 
 
 def run(spark, tmp_path, name, **tables):
@@ -26,3 +28,12 @@ def test_only_whole_bitmaps_collide(spark, tmp_path):
     rows = [(1, a, 0), (2, a[:-1] + [-1.0], 0), (3, [0.5] * 64, 0), (4, [-1.0] + a[1:], 0)]
     got = run(spark, tmp_path, "bitmap_members", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert sorted((r.vec_id, r.n, r.first_id, r.unique_index) for r in got) == [(1, 2, 1, 2), (2, 1, 2, 1), (3, 2, 1, 2), (4, 1, 4, 0)]
+
+
+def test_spam_phrases_come_with_the_policy(spark, tmp_path):
+    texts = ["Alpha beta gamma delta epsilon zeta, Click to download theta.", "Alpha beta gamma delta epsilon zeta eta theta iota."]
+    got = run(spark, tmp_path, "quality_reasons", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.reason) for r in got) == [(0, "boilerplate_or_spam"), (1, None)]
+    good = "山高水长云深不知处，林中有鸟声声入耳，溪边花开年年如故。"
+    docs = spark.createDataFrame([(1, f"{good}\n请扫码关注我们。\n{good}")], "doc_id long, text string")
+    assert sorted((r.first_line, r.last_line) for r in clean.segments(docs, HAN_STRICT).collect()) == [(0, 0), (2, 2)]
