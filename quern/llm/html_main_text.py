@@ -25,7 +25,8 @@ BLOCK = frozenset(
     " thead title tr ul".split()
 )
 CONTAINER = frozenset("article aside blockquote dd details dialog div dl fieldset figure footer form header hgroup li main menu nav ol section table td ul head".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object select textarea button audio video noembed noframes".split())
+RAW = frozenset("script style noscript template iframe textarea noembed noframes".split())  # without a closing tag they take the rest of the page
+SKIPPED = RAW | frozenset("svg canvas object select button audio video".split())
 APART = frozenset("nav footer aside form menu dialog head".split())
 WORDS_APART = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus"
@@ -75,6 +76,7 @@ def blocks(html: str) -> Iterator[Block]:
     parts: list[str] = []
     link = heading = False
     linked = at = 0
+    unclosed: set[str] = set()
 
     def flush() -> Iterator[Block]:
         nonlocal linked
@@ -100,10 +102,15 @@ def blocks(html: str) -> Iterator[Block]:
         if not name:
             continue
         closing = bool(m[1])
-        if name in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
+        if name in SKIPPED:
+            if not closing and not m[3].rstrip().endswith("/") and name not in unclosed:
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                if close:
+                    at = close.end()
+                elif name in RAW:
+                    at = len(html)
+                else:
+                    unclosed.add(name)
             parts.append(" ")
         elif name == "a":
             link = not closing

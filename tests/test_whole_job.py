@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+
+from quern.llm import html_main_text
 from quern.operators import clean
 from quern.plans import catalogue
 from quern.policy import HAN_STRICT
@@ -37,3 +40,12 @@ def test_spam_phrases_come_with_the_policy(spark, tmp_path):
     good = "山高水长云深不知处，林中有鸟声声入耳，溪边花开年年如故。"
     docs = spark.createDataFrame([(1, f"{good}\n请扫码关注我们。\n{good}")], "doc_id long, text string")
     assert sorted((r.first_line, r.last_line) for r in clean.segments(docs, HAN_STRICT).collect()) == [(0, 0), (2, 2)]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [(f"<article><p>First.</p><{n}><p>Second.</p></article>", "First.\nSecond.") for n in ("object", "button", "select", "svg", "canvas", "audio", "video")]
+    + [("<article><p>First.</p><script><p>Second.</p></article>", "First."), ("<article><p>So <math><mi>x</mi></math> holds.</p></article>", "So x holds."), ("<article><p>A <svg>no</svg> b.</p></article>", "A b.")],
+)
+def test_unclosed_elements_lose_no_text(html, text):
+    assert html_main_text.main_text(html) == text
