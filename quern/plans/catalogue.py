@@ -340,12 +340,20 @@ def length_bins(spark, d):
 
 @query(f"WITH {_OFF} SELECT point, doc_id, point - offs AS inside FROM (SELECT CAST(unnest(range(0, (SELECT max(offs) FROM o), 9973)) AS BIGINT) AS point) JOIN o ON point >= offs AND point < offs + n")
 def document_lookup(spark, d):
-    """An as-of lookup as an equi-join on buckets of positions."""
+    """An as-of lookup of every 9973rd position before the last document; window_lookup has all windows."""
     spans = sequence.offsets(_lengths(spark, d), "doc_id", "n").withColumnRenamed("offset", "start")
     points = spans.agg(F.max("start").alias("m")).where("m > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(9973).cast("long"))).alias("point"))
     return sequence.document_of(points, spans)
 
 
+@query(f"WITH {_OFF} SELECT point, doc_id, point - offs AS inside FROM (SELECT CAST(unnest(range(0, (SELECT CAST(sum(n) AS BIGINT) FROM l) - 1, 1024)) AS BIGINT) AS point) JOIN o ON point >= offs AND point < offs + n")
+def window_lookup(spark, d):
+    """The document that holds the start of each window of packed_windows, up to the end of the last document."""
+    spans = sequence.offsets(_lengths(spark, d), "doc_id", "n").withColumnRenamed("offset", "start")
+    points = spans.agg(F.sum("n").alias("m")).where("m > 1").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 2, F.lit(1024).cast("long"))).alias("point"))
+    return sequence.document_of(points, spans)
+
+
 @query("SELECT c AS char, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS c FROM documents) WHERE c <> '' GROUP BY 1")
 def character_frequencies(spark, d):
     """A10 A11"""

@@ -49,3 +49,9 @@ def test_spam_phrases_come_with_the_policy(spark, tmp_path):
 )
 def test_unclosed_elements_lose_no_text(html, text):
     assert html_main_text.main_text(html) == text
+
+
+def test_windows_are_looked_up_to_the_end(spark, tmp_path):
+    docs = [(i, "x" * (n - 2)) for i, n in enumerate((700, 30, 400, 3000))]
+    got = run(spark, tmp_path, "window_lookup", documents=(docs, "doc_id long, text string"))
+    assert sorted((r.point, r.doc_id, r.inside) for r in got) == [(0, 0, 0), (1024, 2, 294), (2048, 3, 918), (3072, 3, 1942), (4096, 3, 2966)]
