@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+import bench
 from quern.llm import html_main_text
 from quern.operators import clean
 from quern.plans import catalogue
@@ -55,3 +56,7 @@ def test_windows_are_looked_up_to_the_end(spark, tmp_path):
     docs = [(i, "x" * (n - 2)) for i, n in enumerate((700, 30, 400, 3000))]
     got = run(spark, tmp_path, "window_lookup", documents=(docs, "doc_id long, text string"))
     assert sorted((r.point, r.doc_id, r.inside) for r in got) == [(0, 0, 0), (1024, 2, 294), (2048, 3, 918), (3072, 3, 1942), (4096, 3, 2966)]
+
+
+def test_bench_has_the_near_duplicate_queries():
+    assert {"near_dup_pairs", "near_dedup_ordered"} <= set(bench.HEADLINE) <= set(catalogue.QUERIES)
