@@ -1,8 +1,8 @@
 """Language-model scores from a weighted backoff automaton over bigrams of the training texts.
 
 A state is a context: the root for none, and one for each trained word. A state has an arc for each word seen after
-it and a failure arc to the root, whose arcs are the smoothed word probabilities; a text is one traversal from left to
-right that adds up weights. The model is as large as the corpus, so no task holds it. Texts go in blocks; a block asks,
+it and a failure arc to the root, whose arcs are the smoothed word probabilities; the score of a text is the sum
+of its bigrams' weights, without a traversal. The model is as large as the corpus, so no task holds it. Texts go in blocks; a block asks,
 partition of hashed keys by partition, for the counts of its own words and word pairs, and scores on the part of the
 automaton that it can reach.
 """
