@@ -218,7 +218,7 @@ j AS (SELECT a, b, c / (x.n + y.n - c) AS j FROM p JOIN n x ON x.id = a JOIN n y
 SELECT a AS item_id, round(j, 6) AS best, b AS best_id FROM r WHERE k = 1"""
 )
 def benchmark_self_leakage(spark, d):
-    """Most alike other item, the earliest of equals."""
+    """J19 inside the benchmark: most alike other item, the earliest of equals."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     sets = b.select("id", T.shingles(F.col("text")).alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     pairs = sets.alias("a").join(sets.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("item_id"), F.col("b.id").alias("id")).agg(F.count("*").alias("c"), F.max("a.n").alias("na"), F.max("b.n").alias("nb"))
@@ -507,7 +507,7 @@ def hamming_neighbours(spark, d):
 
 @query(f"WITH {_BITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM h) SELECT count(*) FILTER (k = 1 AND la = lb) AS top1, count(*) FILTER (k <= 5 AND la = lb) AS top5_hits, round(avg(distance) FILTER (k = 1), 6) AS mean_nearest FROM r")
 def retrieval_rates(spark, d):
-    """A16 A25"""
+    """A16"""
     b = _bits(spark, d)
     labels = b.select("id", "label")
     n = evaluation.nearest(b.where("id % 10 = 0"), b, 5).join(labels.withColumnRenamed("label", "lb"), "id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("la")), "query_id")
@@ -732,6 +732,6 @@ def label_partition(spark, d):
 
 @query()
 def bootstrap_lengths(spark, d):
-    """Poisson bootstrap by hash; rows only."""
+    """A19 with 100 resamples: Poisson bootstrap by hash; rows only."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").cast("double").alias("v"))
     return evaluation.bootstrap(rows, ["lang"], "v", 100).select("lang", "n", F.round("mean", 6).alias("mean"), F.round(F.col("interval")[0], 6).alias("low"), F.round(F.col("interval")[1], 6).alias("high"))
