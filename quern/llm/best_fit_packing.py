@@ -8,73 +8,148 @@ pieces of their length.
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, stored
+from .common import ChunkMemo, Grown, batches, cut, gathered, partitions, stored
 
 
-#: A chunk of letters and then these is two tokens' worth to the tokenizer: the letters, and the run of marks.
-MARKS = ".,;:!?#$%&*|"
+#: Letters and then a run of these are two tokens' worth to the tokenizer.
+MARKS = b".,;:!?#$%&*|"
+#: Closes a word in WordPairs; no word of letters holds it.
+CLOSE = "\0"
+_LOWER = bytes(range(256)).lower()
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[list(b" \n\t\r\f\v")] = _SPACE
+_KIND[[*b"abcdefghijklmnopqrstuvwxyz", 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[list(MARKS)] = _MARK
 
 
-class ChunkIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of the texts between spaces and line feeds, remembered.
+class WordPairs:
+    """The tokenizer's byte pairs for lower-case words of letters, many words a call.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its chunks in order; and
-    letters of Latin-1 before closing marks have the ids of the lower-cased letters, then those of the marks.
+    The vocabulary is read as ranks, with CLOSE for the mark of a word's end, which is what the second library takes.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 800_000) -> None:
+    def __init__(self, tokenizer_path: str) -> None:
+        import tiktoken
+
+        with open(tokenizer_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        suffix, ranks = model["end_of_word_suffix"], {}
+        for piece, number in model["vocab"].items():
+            body = piece.removesuffix(suffix)
+            if all(c in byte for c in body):
+                ranks[bytes(map(byte.__getitem__, body)) + CLOSE.encode() * (body != piece)] = number
+        self.encoding = tiktoken.Encoding("words", pat_str=rf"[^{CLOSE}]*{CLOSE}", mergeable_ranks=ranks, special_tokens={})
+        self.closing = np.zeros(max(ranks.values()) + 1, bool)
+        self.closing[[n for piece, n in ranks.items() if piece.endswith(CLOSE.encode())]] = True
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has."""
+        ids = self.encoding.encode_to_numpy(CLOSE.join([*words, ""]))
+        return ids, np.diff(np.flatnonzero(self.closing[ids]), prepend=-1)
+
+
+class ChunkIds(ChunkMemo):
+    """Token ids of texts: those of their chunks, remembered.
+
+    The tokenizer drops white space and no token crosses it, so chunks end there. Letters of Latin-1 before closing
+    marks are chunks apart. A-Z count as a-z, as to the tokenizer, but for texts with the beginning of a special token.
+    """
+
+    def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.limit = limit
-
-    def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        new = {c for c in chunks if c not in self}
-        if len(self) + 2 * len(new) > self.limit:
-            self.clear()
-            new = set(chunks)
-        if new:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, chunks))
-
-    def learn(self, new: set[str]) -> None:
-        parts, plain = {}, set()
-        for c in new:
-            core = c.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                parts[c] = core.lower(), c[len(core) :]
-                plain.update(parts[c])
-            else:
-                plain.add(c)
-        plain = {c for c in plain if c not in self}
-        if plain:
-            self.ask(list(plain))
-        for c, (core, tail) in parts.items():
-            self[c] = self[core] + self[tail]
-
-    def ask(self, chunks: list[str]) -> None:
+        self.pairs = WordPairs(tokenizer_path)
+        super().__init__()
+
+    def reset(self) -> None:
+        super().reset()
+        self.ids, self.starts, self.lengths = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+
+    def keep(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts.add(self.ids.n + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.ids.add(ids)
+
+    def learn(self, strings: list[bytes]) -> None:
+        words = [x.decode() for x in strings]
+        asked = [k for k, w in enumerate(words) if not (w.isalpha() and (w.isascii() or max(w) < "\u0100"))]
+        other = set(asked)
+        plain, counts = self.pairs.of([w.lower() for k, w in enumerate(words) if k not in other])
+        if not asked:
+            self.keep(plain, counts)
+            return
+        found = self.ask([words[k] for k in asked])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[asked] = list(map(len, found))
+        lengths[np.setdiff1d(np.arange(len(words)), asked)] = counts
+        mine = np.zeros(len(words), bool)
+        mine[asked] = True
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        which = np.repeat(mine, lengths)
+        ids[which] = np.concatenate(found)
+        ids[~which] = plain
+        self.keep(ids, lengths)
+
+    def ask(self, chunks: list[str]) -> list[np.ndarray]:
+        out = []
         for start in range(0, len(chunks), 10_000):
             part = chunks[start : start + 10_000]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             at = np.fromiter((o[0] for o in e.offsets), np.int64)
-            ids = array("I", e.ids).tobytes()
-            ends = 4 * np.searchsorted(at, np.cumsum([len(c) + 1 for c in part]))
-            begin = 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self[c] = ids[begin:end]
-                begin = end
+            out += np.split(np.array(e.ids, np.uint32), np.searchsorted(at, np.cumsum([len(c) + 1 for c in part]))[:-1])
+        return out
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit."""
+        odd = {k: np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes() for k, x in enumerate(texts) if b"<|" in x}
+        flat = np.frombuffer(b" ".join([b"" if k in odd else x for k, x in enumerate(texts)] + [b""]).translate(_LOWER), np.uint8)
+        kind = _KIND[flat]
+        follows = (flat & 0xC0) == 0x80
+        follows[1:] &= (flat[:-1] != 0xC3) | (flat[1:] == 0x97) | (flat[1:] == 0xB7)
+        kind[follows] = _OTHER
+        inside = kind != _SPACE
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # a chunk of letters with marks only at its end is cut between the two
+        last = np.zeros(len(flat), bool)
+        last[1:] = (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+        bad = np.zeros(len(flat) + 1, np.int32)
+        wrong = kind == _OTHER
+        wrong[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+        np.cumsum(wrong, out=bad[1:])
+        seam = np.flatnonzero(last)
+        owner = np.searchsorted(starts, seam, side="right") - 1
+        seam = seam[bad[ends[owner]] == bad[starts[owner]]]
+        starts, ends = np.sort(np.concatenate([starts, seam])), np.sort(np.concatenate([ends, seam]))
+        number = self.numbers(flat, starts, ends)
+        lengths = self.lengths.all[number]
+        ids = gathered(self.ids.all, self.starts.all[number], lengths).astype("<u4").tobytes()
+        closes = np.cumsum([len(x) + 1 for x in (b"" if k in odd else x for k, x in enumerate(texts))])
+        run = np.concatenate(([0], np.cumsum(lengths)))
+        stops = (4 * run[np.searchsorted(starts, closes)]).tolist()
+        return [odd[k] if k in odd else ids[a:b] for k, (a, b) in enumerate(zip([0, *stops], stops))]
+
+
+@lru_cache(maxsize=1)
+def chunk_ids(tokenizer_path: str) -> ChunkIds:
+    """One for all tasks of a worker process."""
+    return ChunkIds(tokenizer_path)
 
 
 PIECES = "id long, piece int, start long, length long, crc long"
@@ -88,15 +163,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo = ChunkIds(tokenizer_path)
-        for b in it:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = memo.of(text.as_py() or "") + b"\0\0\0\0"
-                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    yield i, k, start // 4, len(part) // 4, zlib.crc32(part)
-
-    return docs.select("id", "text").mapInArrow(lambda it: batches(schema, rows(it)), PIECES)
+        memo = chunk_ids(tokenizer_path)
+
+        def whole() -> Iterator[tuple]:
+            key, parts = None, []
+            for group in cut((((i,), t.as_py() or b"") for b in it for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)), b" \n"):
+                for (own, number, _), ids in zip(group, memo.of([x for *_, x in group]), strict=True):
+                    if number == 0 and parts:
+                        yield *key, b"".join(parts)
+                        parts = []
+                    key = own
+                    parts.append(ids)
+            if parts:
+                yield *key, b"".join(parts)
+
+        for i, ids in whole():
+            ids += b"\0\0\0\0"
+            for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[start : start + 4 * capacity]
+                yield i, k, start // 4, len(part) // 4, zlib.crc32(part)
+
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, rows(it)), PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,154 @@ def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Itera
         yield batch(schema, held)
 
 
+def cut(texts: Iterator[tuple[object, bytes]], places: bytes, size: int = 1 << 21) -> Iterator[list[tuple[object, int, bytes]]]:
+    """Groups of (key, number of the piece, piece) of about `size` bytes; texts longer than that are cut before a byte of `places` that follows another byte."""
+    place = re.compile(rb"(?<![%s])[%s]" % (places, places)) if places else None
+    held, total = [], 0
+    for key, text in texts:
+        begin = number = 0
+        while True:
+            found = place.search(text, begin + size) if place else None
+            end = found.start() if found else len(text)
+            held.append((key, number, text[begin:end]))
+            total += end - begin + 64
+            begin, number = end, number + 1
+            if total >= size:
+                yield held
+                held, total = [], 0
+            if begin >= len(text):
+                break
+    if held:
+        yield held
+
+
+class Grown:
+    """An array that is added to at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.all, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all, np.zeros_like(self.all)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+_RNG = np.random.default_rng(20_240_229)
+_BYTES = _RNG.integers(1, 1 << 63, (2, 256)).astype(U)
+_BASE = [int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2)]
+
+
+class _Powers:
+    """base ** i and its inverse modulo 2 ** 64, by i; grown as longer arrays come."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, U)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * U(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = [_Powers(b) for b in _BASE]
+
+
+def segment_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each segment of a byte array: differences of running sums of byte values times
+    powers, set back to the segment's start. Segments over 64 bytes are hashed whole."""
+    out = []
+    long_ones = np.flatnonzero(ends - starts > 64)
+    for which in (0, 1):
+        up, down = _POWERS[which].upto(len(flat) + 1)
+        run = np.zeros(len(flat) + 1, U)
+        np.cumsum(_BYTES[which][flat] * up[:-1], out=run[1:])
+        out.append(mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U)))
+    for k in long_ones.tolist():
+        h = xxhash.xxh3_128_intdigest(flat[starts[k] : ends[k]].tobytes())
+        out[0][k], out[1][k] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+    return out[0], out[1]
+
+
+class ChunkMemo:
+    """Numbers of byte strings met before, in a table of bounded size that is emptied when full.
+
+    A string is known by 128 bits of hashes. learn() gets the new strings of a call and keeps a row for each.
+    """
+
+    BITS = 21
+
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self.first, self.second = Grown(U), Grown(U)
+
+    def learn(self, strings: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at, out, todo = (a >> U(64 - self.BITS)).astype(np.int64), np.full(len(a), -1, np.int32), np.arange(len(a))
+        while len(todo):
+            s = self.slots[at[todo]]
+            hit = (s >= 0) & (self.first.all[s] == a[todo]) & (self.second.all[s] == b[todo])
+            out[todo[hit]] = s[hit]
+            todo = todo[(s >= 0) & ~hit]
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _put(self, a: np.ndarray, b: np.ndarray) -> None:
+        n = self.first.n
+        self.first.add(a)
+        self.second.add(b)
+        at, todo = (a >> U(64 - self.BITS)).astype(np.int64), np.arange(len(a))
+        while len(todo):
+            free = self.slots[at[todo]] < 0
+            self.slots[at[todo[free]]] = n + todo[free]
+            todo = todo[self.slots[at[todo]] != n + todo]
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+
+    def numbers(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each segment [start, end); valid until the next call."""
+        a, b = segment_hashes(flat, starts, ends)
+        out = self._find(a, b)
+        new = np.flatnonzero(out < 0)
+        while len(new):
+            _, where = np.unique(a[new] ^ mixed(b[new]), return_index=True)
+            if len(new) < len(a) and self.first.n + len(where) > 1 << (self.BITS - 2):
+                self.reset()
+                new = np.arange(len(a))
+                continue
+            while self.first.n + len(where) > len(self.slots) // 2:
+                self._widen()
+            own = new[where]
+            raw = flat.tobytes()
+            self.learn([raw[i:j] for i, j in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            self._put(a[own], b[own])
+            out[new] = self._find(a[new], b[new])
+            new = np.flatnonzero(out < 0)
+        return out
+
+    def _widen(self) -> None:
+        """A table for a call with more new strings than fit, twice as large."""
+        a, b, n = self.first, self.second, self.first.n
+        self.slots = np.full(2 * len(self.slots), -1, np.int32)
+        self.first, self.second = Grown(U), Grown(U)
+        if n:
+            self._put(a.all[:n], b.all[:n])
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs [start, start + length) of an array, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

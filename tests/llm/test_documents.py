@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm import backoff_lm, best_fit_packing, minhash_dedup, quality_rules, text_sketch, toxicity, unigram_pieces
+from quern.llm import backoff_lm, best_fit_packing, common, minhash_dedup, quality_rules, text_sketch, toxicity, unigram_pieces
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -119,6 +119,37 @@ def test_packing_is_whole_and_tight(spark, docs):
     assert best_fit_packing.packed(odd.where("false"), path, 256).count() == 0
 
 
+def test_chunk_ids_equal_the_tokenizer():
+    """Cuts, marks, case, other alphabets, special tokens, and a memo emptied all the time."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, memo = Tokenizer.from_file(path), best_fit_packing.ChunkIds(path)
+    rng = random.Random(4)
+    signs = ["a", "b", "th", "ing", "É", "ß", "ÿ", "×", "e\u0301", "\u0301", "'s", "'", "9", ".", "!!", "…", "“", "?", "|", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "ﬁ", "日本", "🙂", "\0", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["x" * 5000, "word " * 3000]
+    for bits in (21, 6):
+        memo.BITS = bits
+        memo.reset()
+        for start in range(0, len(texts), 100):
+            part = texts[start : start + 100]
+            for text, ids in zip(part, memo.of([x.encode() for x in part]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_texts_are_cut_and_joined():
+    texts = [(k, x) for k, x in enumerate([b"", b"ab cd  ef gh" * 9, b"x" * 50, b"a b"])]
+    for size in (1, 7, 20, 1000):
+        got: dict = {}
+        for group in common.cut(iter(texts), b" ", size):
+            for key, number, piece in group:
+                assert number == 0 or piece.startswith(b" ")
+                got[key] = got.get(key, b"") + piece
+        assert got == dict(texts)
+
+
 def test_two_documents_replace_the_smallest():
     # filling greedily gives 6 + 3 and leaves a gap of 1; 2 + 2 fill the place of 3 and the gap
     patterns = best_fit_packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
@@ -214,13 +245,17 @@ def test_pieces_equal_the_library(spark, docs):
     library = SentencePieceProcessor()
     library.LoadFromSerializedProto(model.SerializeToString())
     encoder = unigram_pieces.Encoder(pieces)
-    extra = ["a  b   c ", " lead", "\n\nx\ty", "门 含 ข 😀", "é ê ﬁ", "", "x" * 300]
-    for text in [*(r[1] or "" for r in documents()[:60]), *extra]:
-        ids, _, _ = encoder.encode(text)
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
-        assert encoder.decode(ids) == text
-    for text in ("a\0b c", "x▁y"):
-        assert np.frombuffer(encoder.encode(text)[0], "<u4").tolist() == encoder.best("▁" + text.replace(" ", "▁"))[0] or encoder.decode(encoder.encode(text)[0]) == text.replace("▁", " ")
+    extra = ["a  b   c ", " lead", "\n\nx\ty", "门 含 ข 😀", "é ê ﬁ", "", "x" * 300, "日本語の文" * 80, "tail  "]
+    texts = [*(r[1] or "" for r in documents()[:60]), *extra, "a\0b c", "x▁y"]
+    for encode in (encoder, unigram_pieces.Encoder(pieces)):
+        for text, (_, ids, score, fallen, back, same) in zip(texts, unigram_pieces.results(((None, x.encode()) for x in texts), encode), strict=True):
+            plain = encode.best(b" " + text.replace("▁", " ").encode()) if text else (np.zeros(0), 0.0, 0)
+            assert ids.tolist() == plain[0].tolist() and score == pytest.approx(plain[1]) and fallen == plain[2]
+            assert same == ("▁" not in text) and back.decode() == text.replace("▁", " ")
+            if text not in ("a\0b c", "x▁y"):
+                assert ids.tolist() == library.encode(text)
+        encode.BITS = 8  # the second time with a table that is emptied and widened all the time
+        encode.reset()
     got = {r.doc_id: r for r in unigram_pieces.encoded(docs, path).collect()}
     assert len(got) == len(documents()) and all(r.round_trip for r in got.values()) and got[1].n_pieces == 0
     assert unigram_pieces.encoded(docs.where("false"), path).count() == 0
