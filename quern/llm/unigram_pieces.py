@@ -3,7 +3,7 @@
 Text gets a marker for each space and one before it; the best path through pieces maximises the sum of their scores;
 characters that no piece covers become their bytes. Where no piece can span a place (before a run of markers, around a
 character that only stands alone), the paths on its two sides are independent, so a text is encoded chunk by chunk and
-chunks are remembered.
+chunks are remembered. The new chunks of a batch walk the trie and the lattice together. The marker is held as a space.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, batches
+from .common import ChunkMemo, Grown, batches, cut, gathered
 
 MARKER = "▁"
 #: How far below the worst piece an unknown character is.
 UNKNOWN = 10.0
-#: Scores below this only say that a piece is never merged (runs of markers); it then counts as the worst other one.
+#: Scores below this only say that a piece is never merged (runs of spaces); it then counts as the worst other one.
 NEVER = -1e8
 
 
@@ -71,7 +72,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = sp.get_piece_size()
-        plain = {i: sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        plain = {i: sp.id_to_piece(i).replace(MARKER, " ") for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         worst = min((s for s in map(sp.get_score, plain) if s > NEVER), default=0.0)
         self.scores = array("d", [s if s > NEVER else worst for s in map(sp.get_score, range(n))])
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -80,58 +81,126 @@ class Pieces:
         self.trie = DoubleArray({p.encode(): i for i, p in plain.items()})
         self.bytes_of = {i: p.encode() for i, p in plain.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         inner = {p[k : k + 2] for p in plain.values() for k in range(len(p) - 1)}
-        self.markers_lead = not any(x[1] == MARKER and x[0] != MARKER for x in inner)
-        self.alone = tuple(c for c in "\n\t\r" if not any(c in x for x in inner))
+        self.spaces_lead = not any(x[1] == " " and x[0] != " " for x in inner)
+        self.alone = bytes(ord(c) for c in "\n\t\r" if not any(c in x for x in inner))
+        self.digest = sha256(repr((sorted(self.bytes_of.items()), self.scores.tolist(), self.unknown)).encode()).hexdigest()
 
 
-class Encoder(dict):
-    """Chunks of marked text to (ids as little-endian unsigned 32-bit, score, ids that are bytes), remembered."""
+class Encoder(ChunkMemo):
+    """Ids, score and number of byte ids of chunks, remembered."""
+
+    #: Longer chunks are encoded one by one.
+    TOGETHER = 256
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.base, self.check, self.value = pieces.trie.base.tolist(), pieces.trie.check.tolist(), pieces.trie.value.tolist()
-
-    def chunks(self, text: str) -> list[str]:
-        """A text without NUL (that stands for the cuts) cut where no piece can span."""
-        if not self.pieces.markers_lead:
-            return [MARKER + text.replace(" ", MARKER)]
-        for c in self.pieces.alone:
-            text = text.replace(c, "\0" + c + "\0")
-        out = []
-        for k, part in enumerate(text.split("\0")) if self.pieces.alone else [(0, text)]:
-            part = part.replace(" ", MARKER)
-            if k == 0:
-                part = MARKER + part
-            if MARKER * 2 in part:
-                out += self._runs(part)
-            elif part:
-                head, *rest = part.split(MARKER)
-                out += [head] if head else []
-                out += [MARKER + x for x in rest]
-        return out
-
-    @staticmethod
-    def _runs(part: str) -> list[str]:
-        """Chunks each of which begins with its whole run of markers."""
-        out, held = [], ""
-        for k, x in enumerate(part.split(MARKER)):
-            if k:
-                held += MARKER
-            if x:
-                out.append(held + x)
-                held = ""
-        return out + [held] if held else out
-
-    def __missing__(self, chunk: str) -> tuple[bytes, float, int]:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[chunk] = self.best(chunk)
-        return found
-
-    def best(self, chunk: str) -> tuple[bytes, float, int]:
+        more = np.zeros(258, np.int32)  # a state's children are looked up without asking whether there are so many places
+        self.base, self.check, self.value = (np.concatenate([np.array(a, np.int32), more + x]) for a, x in ((pieces.trie.base, 0), (pieces.trie.check, -1), (pieces.trie.value, -1)))
+        self.plain = self.base.tolist(), self.check.tolist(), self.value.tolist()
+        self.scores = np.append(np.array(pieces.scores), pieces.unknown)  # the last is that of -1, an unknown character
+        self.byte_ids = np.array([pieces.byte_ids.get(b, 0) for b in range(256)], np.uint32)
+        shown = [pieces.bytes_of.get(i, b"") for i in range(len(pieces.scores))]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_lengths = np.array(list(map(len, shown)), np.int64)
+        self.shown_starts = np.cumsum(self.shown_lengths) - self.shown_lengths
+        super().__init__()
+
+    def reset(self) -> None:
+        super().reset()
+        self.ids, self.starts, self.lengths = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+        self.best_scores, self.fallen = Grown(np.float64), Grown(np.int64)
+
+    def learn(self, strings: list[bytes]) -> None:
+        small = [k for k, x in enumerate(strings) if len(x) <= self.TOGETHER]
+        ids, lengths, scores, fallen = self.together([strings[k] for k in small])
+        if len(small) < len(strings):
+            parts = dict(zip(small, zip(np.split(ids, np.cumsum(lengths)[:-1]), scores, fallen, strict=True), strict=True)) if small else {}
+            rows = [parts[k] if k in parts else self.best(x) for k, x in enumerate(strings)]
+            ids, lengths = np.concatenate([r[0] for r in rows]), np.array([len(r[0]) for r in rows])
+            scores, fallen = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.starts.add(self.ids.n + np.cumsum(lengths) - lengths)
+        for out, x in ((self.ids, ids), (self.lengths, lengths), (self.best_scores, scores), (self.fallen, fallen)):
+            out.add(x)
+
+    def together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks, and how many, score and number of byte ids of each, as best() has them one by one.
+
+        A chunk of n bytes has n + 1 nodes, all nodes being numbered through; an edge is a piece or an unknown character.
+        """
+        if not chunks:
+            return np.zeros(0, np.uint32), *(np.zeros(0, t) for t in (np.int64, np.float64, np.int64))
+        sizes = np.array(list(map(len, chunks)), np.int64)
+        raw = np.frombuffer(b"\0".join([*chunks, b""]), np.uint8)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        chunk = np.repeat(np.arange(len(chunks)), sizes + 1)
+        begins, last = first[chunk], (first + sizes)[chunk]
+        own = np.flatnonzero(((raw & 0xC0) != 0x80) & (np.arange(len(raw)) < last))
+        lead = raw[own]
+        width = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+        tails, heads, found = [], [], []
+        at, state = own, np.zeros(len(own), np.int64)
+        single = np.zeros(len(raw), bool)
+        wide = np.zeros(len(raw), np.int64)
+        wide[own] = width
+        for d in range(self.TOGETHER):
+            to = self.base[state] + raw[at + d].astype(np.int64) + 1
+            ok = (at + d < last[at]) & (self.check[to] == state)
+            at, state = at[ok], to[ok]
+            if not len(at):
+                break
+            v = self.value[state]
+            hit = v >= 0
+            tails.append(at[hit])
+            heads.append(at[hit] + d + 1)
+            found.append(v[hit])
+            alone = at[hit & (wide[at] == d + 1)]
+            single[alone] = True
+        lost = ~single[own]
+        tail, head = np.concatenate([*tails, own[lost]]), np.concatenate([*heads, (own + width)[lost]])
+        piece = np.concatenate([*found, np.full(int(lost.sum()), -1)]).astype(np.int64)
+        column = head - begins[tail]
+        order = np.lexsort((tail, head, column))
+        tail, head, piece, column = tail[order], head[order], piece[order], column[order]
+        fresh = np.concatenate(([True], head[1:] != head[:-1]))
+        groups = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1
+        best, via = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        bounds = np.searchsorted(column, np.arange(1, column[-1] + 2)) if len(column) else [0]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            s = best[tail[a:b]] + self.scores[piece[a:b]]
+            g0, g1 = group[a], group[b - 1] + 1
+            top = np.maximum.reduceat(s, groups[g0:g1] - a)
+            equal = np.flatnonzero(s == top[group[a:b] - g0])
+            which = group[a + equal]
+            equal = equal[np.concatenate(([True], which[1:] != which[:-1]))]  # of equal ones the step that began earlier
+            to = head[groups[g0:g1]]
+            best[to] = top
+            via[to] = a + equal
+        used = np.zeros(len(tail), bool)
+        now = (first + sizes)[sizes > 0]
+        while len(now):
+            e = via[now]
+            used[e] = True
+            now = tail[e]
+            now = now[now > begins[now]]
+        path = np.flatnonzero(used)
+        path = path[np.argsort(head[path], kind="stable")]
+        own_chunk, unknown = chunk[tail[path]], piece[path] < 0
+        span = np.where(unknown, head[path] - tail[path], 1) if self.pieces.byte_ids else np.ones(len(path), np.int64)
+        ids = np.repeat(np.where(unknown, self.pieces.unknown_id, piece[path]).astype(np.uint32), span)
+        fallen = np.zeros(len(path), np.int64)
+        if self.pieces.byte_ids and unknown.any():
+            ids[np.repeat(unknown, span)] = self.byte_ids[gathered(raw, tail[path][unknown], span[unknown])]
+            fallen = np.where(unknown, span, 0)
+        count = lambda w: np.bincount(own_chunk, w, len(chunks)).astype(np.int64)
+        return ids, count(span), best[first + sizes], count(fallen)
+
+    def best(self, raw: bytes) -> tuple[np.ndarray, float, int]:
         """The best path through one chunk; of equal ones the last step that began earlier."""
-        raw, base, check, value, scores = chunk.encode("utf-8", "surrogatepass"), self.base, self.check, self.value, self.pieces.scores
-        n, size = len(raw), len(self.check)
+        (base, check, value), scores = self.plain, self.pieces.scores
+        n = len(raw)
         best: list[float | None] = [None] * (n + 1)
         back, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
@@ -142,7 +211,7 @@ class Encoder(dict):
             single, state = False, 0
             for j in range(i, n):
                 to = base[state] + raw[j] + 1
-                if to >= size or check[to] != state:
+                if check[to] != state:
                     break
                 state = to
                 v = value[state]
@@ -168,22 +237,71 @@ class Encoder(dict):
             else:
                 ids.append(self.pieces.unknown_id)
             at = back[at]
-        return array("I", ids[::-1]).tobytes(), float(best[n] or 0.0), fallen
+        return np.array(ids[::-1], np.uint32), float(best[n] or 0.0), fallen
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many, score and number of byte ids of each. A part is a text with a space
+        before it, or a later piece of one."""
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        begins = np.cumsum([0, *map(len, parts)])
+        start = np.zeros(len(flat) + 1, bool)
+        start[begins] = True
+        if self.pieces.spaces_lead and len(flat):
+            space = flat == 32
+            start[:-1] |= space & ~np.concatenate(([False], space[:-1]))
+            for c in self.pieces.alone:
+                own = np.flatnonzero(flat == c)
+                start[own] = start[own + 1] = True
+        starts = np.flatnonzero(start[:-1])
+        number = self.numbers(flat, starts, np.append(starts[1:], len(flat)))
+        lengths = self.lengths.all[number]
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        total = lambda w: np.bincount(owner, w[number], len(parts))
+        ids = gathered(self.ids.all, self.starts.all[number], lengths)
+        return ids, total(self.lengths.all).astype(np.int64), total(self.best_scores.all), total(self.fallen.all).astype(np.int64)
 
-    def encode(self, text: str) -> tuple[bytes, float, int]:
-        """Ids, score and number of byte ids of a whole text; an empty one has none."""
-        if not text:
-            return b"", 0.0, 0
-        found = [self.best(MARKER + text.replace(" ", MARKER))] if "\0" in text else list(map(self.__getitem__, self.chunks(text)))
-        ids, scores, fallen = zip(*found, strict=True)
-        return b"".join(ids), sum(scores), sum(fallen)
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, markers being spaces; before the first text there is one more."""
+        return gathered(self.shown, self.shown_starts[ids], self.shown_lengths[ids]).tobytes()
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: markers are spaces, the first of them none; bytes that are no UTF-8 become U+FFFD."""
-        a = array("I")
-        a.frombytes(ids)
-        raw = b"".join(map(self.pieces.bytes_of.__getitem__, a)).replace(MARKER.encode(), b" ")
-        return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(pieces: Pieces) -> Encoder:
+    """One for all tasks of a worker process."""
+    if pieces.digest not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[pieces.digest] = Encoder(pieces)
+    return _ENCODERS[pieces.digest]
+
+
+def results(texts: Iterator[tuple[object, bytes]], encoder: Encoder) -> Iterator[tuple]:
+    """(key, ids, score, number of byte ids, decoded bytes, whether these are the text) of each (key, text)."""
+
+    def row(key: object, parts: list[tuple]) -> tuple:
+        text, ids, scores, fallen = zip(*parts, strict=True)
+        ids = np.concatenate(ids)
+        back = encoder.decode(ids)[1:]
+        same = back == b"".join(text)[1:]
+        if not same:
+            back = back.decode("utf-8", "replace").encode()
+        return key, ids, sum(scores), sum(fallen), back, same
+
+    key, held = None, []
+    marker = MARKER.encode()
+    for group in cut(texts, b" " if encoder.pieces.spaces_lead else b""):
+        parts = [b" " + x if number == 0 and x else x for _, number, x in group]
+        ids, lengths, scores, fallen = encoder.encode([x.replace(marker, b" ") for x in parts])
+        ends = np.cumsum(lengths)
+        for k, (own, number, _) in enumerate(group):
+            if number == 0 and held:
+                yield row(key, held)
+                held = []
+            key = own
+            held.append((parts[k], ids[ends[k] - lengths[k] : ends[k]], float(scores[k]), int(fallen[k])))
+    if held:
+        yield row(key, held)
 
 
 ENCODED = "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, decoded_sha256 string, round_trip boolean"
@@ -200,13 +318,9 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder = Encoder(pieces)
-        for b in it:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = x.as_py() or ""
-                ids, score, fallen = encoder.encode(text)
-                back = encoder.decode(ids)
-                yield i, len(ids) // 4, fallen, zlib.crc32(ids), score, sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text
-
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        texts = ((i, x.as_py() or b"") for b in it for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for i, ids, score, fallen, back, same in results(texts, encoder_of(pieces)):
+            yield i, len(ids), fallen, zlib.crc32(ids.astype("<u4").tobytes()), score, sha256(back).hexdigest(), same
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return own.mapInArrow(lambda it: batches(schema, rows(it), 1024), ENCODED)
