@@ -8,16 +8,46 @@ from pyspark.sql import functions as F
 BOS, EOS, NEWLINE, FIRST = 1, 2, 3, 4
 
 
-def offsets(docs: DataFrame, order: str, length: str, parts: int = 64) -> DataFrame:
-    """Exclusive running sum of lengths in the given order: sums of ranges first, then inside each range."""
-    dealt = docs.repartitionByRange(parts, order).withColumn("__range", F.spark_partition_id())
-    sums = dealt.groupBy("__range").agg(F.sum(length).alias("s"))
-    bases = sums.select("__range", F.coalesce(F.sum("s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+def offsets(docs: DataFrame, order: str, length: str, parts: int | None = None, seen: int = 100_000) -> DataFrame:
+    """Exclusive running sum of lengths in the given order: sums of ranges first, then inside each range.
+
+    A row's range follows from its own value and boundaries that are found once, so both passes agree on it; rows of
+    equal order are in one range. The boundaries, at most `parts` values, reach the driver. Nulls come first.
+    """
+    parts = parts or min(512, max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged, bases = range_sums(docs, order, length, parts, seen)
     inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(bases), "__range")  # one row per range: `parts` rows
+    out = ranged.join(F.broadcast(bases), "__range")  # one row per range
     return out.withColumn("offset", (F.col("base") + F.coalesce(F.sum(length).over(inside), F.lit(0))).cast("long")).drop("base", "__range")
 
 
+def boundaries(docs: DataFrame, order: str, parts: int, seen: int) -> list:
+    """At most parts - 1 values that cut the order into like parts, from a sample of about `seen` values."""
+    share = min(1.0, seen / max(1, docs.count()))
+    known = docs.select(order).where(F.col(order).isNotNull())
+    part = (known.sample(share, seed=7) if share < 1 else known).select(order, F.ntile(parts).over(Window.orderBy(order)).alias("n"))
+    return sorted({r["least"] for r in part.groupBy("n").agg(F.min(order).alias("least")).where("n > 1").collect()})
+
+
+def range_number(x: Column, cuts: list, kind: str) -> Column:
+    """How many of the ascending values are not above x, by a balanced tree of comparisons; 0 for null."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x < F.lit(cuts[middle]).cast(kind), tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return F.when(x.isNull(), 0).otherwise(tree(0, len(cuts)))
+
+
+def range_sums(docs: DataFrame, order: str, length: str, parts: int, seen: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with __range, (__range, base) per range): base is the sum of all ranges before."""
+    ranged = docs.withColumn("__range", range_number(F.col(order), boundaries(docs, order, parts, seen), docs.schema[order].dataType.simpleString()))
+    sums = ranged.groupBy("__range").agg(F.sum(length).alias("s"))
+    return ranged, sums.select("__range", F.coalesce(F.sum("s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+
+
 def encoded(text: Column, vocabulary: Column) -> Column:
     """BOS, the numbers of the characters (line feed its own, unknown -1), EOS."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
