@@ -18,9 +18,11 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one is set only where none is named (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local master may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -28,23 +30,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths under the shared folder that this process wrote and has not deleted.
+_WRITTEN: set[str] = set()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all that the operators still hold in the shared folder; results not yet read or written are lost with it."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/quern-" in path.toString():
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            own = next((p for p in _WRITTEN if p.rpartition("/")[2] in file), None)
+            if own:
+                _WRITTEN.discard(own)
+                _delete(df.sparkSession, own)
 
 
 def partitions(spark: SparkSession) -> int:

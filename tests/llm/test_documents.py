@@ -209,24 +209,36 @@ def test_language_model_equals_a_plain_one(spark, docs):
             base += math.log10(p)
             score += math.log10((c2[before, x] + k * p) / (c1[before] + k)) if c1[before] else math.log10(p)
         expected.append((str(i), held(i), len(w), sum(c1[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
-    old, backoff_lm.BLOCK = backoff_lm.BLOCK, 500
+    old, backoff_lm.BLOCK, backoff_lm.PART = (backoff_lm.BLOCK, backoff_lm.PART), 500, 3000
     try:
         got = backoff_lm.scored(odd).collect()
     finally:
-        backoff_lm.BLOCK = old
+        backoff_lm.BLOCK, backoff_lm.PART = old
     assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in got) == sorted(expected)
     assert backoff_lm.scored(docs.where("false")).count() == 0
 
 
-def test_automaton_steps_equal_one_traversal():
+def test_traversal_carries_its_state():
     uni, context, word, bi = np.array([3.0, 2.0, 0.0]), np.array([0, 0, 1, 2]), np.array([0, 1, 2, 0]), np.array([1.0, 2.0, 0.0, 0.0])
     a = backoff_lm.Automaton(uni, context, word, bi, 5, 2)
-    steps = [a.step(int(a.state[c]), int(w))[1] for c, w in zip(context, word)]
-    assert steps == pytest.approx(a.weights().tolist())
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 700, 3, 1024, 512, 2])
+    starts, tokens = np.cumsum(lengths) - lengths, rng.integers(0, 3, lengths.sum())
+    before = np.concatenate(([0], tokens[:-1]))
+    before[starts] = 1
+    expected = []
+    for s, n in zip(starts, lengths):
+        state, total = a.state[[1]], 0.0
+        for w in tokens[s : s + n]:
+            state, weight = a.step(state, np.array([w]))
+            total += weight[0]
+        expected.append(total)
+    assert a.traversed(tokens, starts, lengths, before) == pytest.approx(expected)
     # in a context the words and one unknown word share all probability
     full = backoff_lm.Automaton(uni[:2], np.array([0, 0]), np.array([0, 1]), np.array([1.0, 2.0]), 5, 2)
+    _, weights = full.step(np.array([1, 1]), np.array([0, 1]))
     unknown = full.failure[1] + math.log10(1 / (5 + 2 + 1))
-    assert sum(10**x for x in full.weights()) + 10**unknown == pytest.approx(1)
+    assert sum(10**x for x in weights) + 10**unknown == pytest.approx(1)
 
 
 def test_pieces_equal_the_library(spark, docs):
