@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,68 @@ def test_unclosed_elements_lose_no_text(html, text):
     assert html_main_text.main_text(html) == text
 
 
+JAPANESE = "これは長い日本語の段落です。海と人の物語であり、朝に見るためのものです。" * 6
+RUSSIAN = "Это длинный абзац на русском языке о море и человеке, который вышел утром. " * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<main class="content has-sidebar"><p>{LONG}</p></main>', LONG), (f'<div class="page with-cookie-notice"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<div class="ad-free"><p>{LONG}</p></div>', LONG), (f'<section id="social-history"><p>{LONG}</p></section>', LONG),
+        (f"<p>{JAPANESE}</p>", JAPANESE), (f"<p>{RUSSIAN}</p>", RUSSIAN), (f"<article><p>{LONG}<a href=x>{LONG[:150]}</a></p></article>", f"{LONG}{LONG[:150]}"),
+        (f'<div class="cookie-banner"><p>{LONG}</p></div><div id="site-footer">x</div><p>{LONG}</p>', LONG),
+        (f'<article><p>{LONG}</p><p>Short end.</p></article><div id="comments"><article class="comment"><p>{LONG}</p></article></div>', f"{LONG.strip()}\nShort end."),
+        (f"<article><p>{LONG}</p><h3>More</h3><ul><li><a href=x>{LONG}</a></li></ul></article>", LONG),
+        (f"<p><a href=x>{LONG}</a></p><h2>Title</h2><p>{LONG}</p><p>{LONG[:100]}</p><p><a href=x>{LONG}</a></p>", f"Title\n{LONG.strip()}\n{LONG[:100].strip()}"),
+        ("<article><p>Only this.</p></article><footer>y</footer>", "Only this."), ("<p>Home</p>", ""),
+    ],
+)
+def test_rules_decide(html, text):
+    assert html_main_text.main_text(html) == text.strip()
+
+
+@pytest.mark.parametrize("mark", ['<a "', '<a ">', "</script", "<script>", "<a '\"", "<div>", "</section><div>", "<!--", "<", '<a href="x', "<b>x</b>", "&amp", "<article><p>x"])
+def test_time_grows_with_the_page(mark):
+    import time
+
+    began = time.process_time()
+    html_main_text.main_text(mark * (1_000_000 // len(mark)))
+    assert time.process_time() - began < 10, "seconds at most, where a search that begins anew each time takes hours"
+
+
+def test_tags_equal_the_parser_of_the_standard_library():
+    """A second, plain reading of tags on pages of well-formed and broken marks."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            self.found.append((tag, False))
+
+        def handle_endtag(self, tag):
+            self.found.append((tag, True))
+
+    rng = random.Random(8)
+    signs = ["<p>", "</p>", "<a href='x>y'>", '<a title="a > b" x>', "text ", "&amp;", "<!-- <b> -->", "<DIV Class=x>", "</div >", "<br/>", "<!doctype html>", "1 < 2 "]
+    for _ in range(300):
+        html = "".join(rng.choice(signs) for _ in range(20))
+        plain = Plain()
+        plain.feed(html)
+        plain.close()
+        got = [(name, closing) for _, _, name, closing, _ in html_main_text.tags(html) if name]
+        assert [g for g in got if g[0] != "br"] == [f for f in plain.found if f[0] != "br"], html
+
+
+def test_most_blocks_are_decided_by_rules(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    total = sum((html_main_text.decisions(r.html) for r in pages), Counter())
+    assert total["first pass"] + total["second pass"] > total["markup"]
+
+
 def test_extracted_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a é", 5), (None, None, None, 5), (1, "u", "<article><p>a é", 5)], "page_id long, url string, html string, text int")
     got = sorted((tuple(r) for r in html_main_text.extracted(pages).collect()), key=str)
