@@ -70,6 +70,14 @@ def dropped(*tables: DataFrame) -> None:
                 _delete(df.sparkSession, own)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import free, held_out
 
 #: Byte classes whose shares of a text are statistics.
 CLASSES = {
@@ -175,21 +175,21 @@ def fitted(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalt
     return Model(tuple(rules[i] for i in kept), tuple(float(w[i]) for i in kept), float(b))
 
 
-def trained(stats: DataFrame, labels: DataFrame, fold: tuple[int, int], max_fit_rows: int = 20_000, label: str = "quality") -> Model:
-    """A model from (id, stats) and the labels of rows outside the held-out fold.
+def trained(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], max_fit_rows: int = 20_000, label: str = "quality") -> Model:
+    """A model from (id, text) and the labels of rows outside the held-out fold.
 
-    max_fit_rows bounds the labelled rows that reach the driver (a row is its statistics, not its text); they are those
-    with the smallest hashes of their ids, the same on every run.
+    max_fit_rows bounds the labelled ids it is fitted on: those with the smallest hashes, the same on every run. They are
+    broadcast, and only the texts of these ids are measured for it; their statistics reach the driver.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y in (0, 1)")
-    known = known.where(~held_out(F.col("id"), *fold)).groupBy("id").agg(F.max("y").alias("y"))
-    rows = stats.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_fit_rows).select("stats", "y").toPandas()
+    known = known.where(~held_out(F.col("id"), *fold)).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
+    rows = docs.join(F.broadcast(known), "id").select("id", stats_column(F.col("text")).alias("stats"), "y").orderBy(F.xxhash64("id"), "id", "stats").limit(max_fit_rows).toPandas()
     x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), len(NAMES))
     return fitted(x, rows["y"].to_numpy(np.float64))
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", stats_column(F.col("text")).alias("stats"))
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,16 +198,13 @@ def scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), i
     Null and empty texts have statistics of 0 and a score like any other. A null id counts as held out. Repeated rows
     are scored each; of repeated labels the larger holds. With no usable label the score is one constant.
     """
-    stats = stored(_measured(docs, id_col, text_col), "stats")
-    model = trained(stats.where("id is not null"), labels, fold)
-    return stats.select("id", held_out(F.col("id"), *fold).alias("held_out"), model.score(F.col("stats")).alias("score"))
+    own = _own(docs, id_col, text_col)
+    model = trained(own, labels, fold)
+    return own.select("id", stats_column(F.col("text")).alias("stats")).select("id", held_out(F.col("id"), *fold).alias("held_out"), model.score(F.col("stats")).alias("score"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, whose quality score reaches the threshold."""
-    stats = stored(_measured(docs, id_col, text_col), "stats")
-    model = trained(stats.where("id is not null"), labels, fold)
-    own = "__stats"
-    return docs.withColumn(own, stats_column(F.col(text_col))).where(model.score(F.col(own)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    """The rows of docs, with their columns, whose quality score reaches the threshold. Odd rows are scored as in scored()."""
+    model = trained(_own(docs, id_col, text_col), labels, fold)
+    own = free("stats", docs.columns)
+    return docs.withColumn(own, stats_column(F.col(text_col))).where(model.score(F.col(own)) >= threshold).drop(own)

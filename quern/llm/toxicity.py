@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-N-grams of bytes of the lower-cased text, white space runs as one space, hashed. The log-count ratios come from the
+N-grams of code points of the lower-cased text, white space runs as one space, hashed. The log-count ratios come from the
 presence of n-grams in texts; the n-grams that tell the classes apart most keep their ratio as a scale, and a logistic
-model with an L2 penalty is fitted on their counts, no more than CAP each, so scaled.
+model with an L2 penalty is fitted on the logarithms of 1 + their counts, so scaled.
 """
 
 from __future__ import annotations
@@ -15,30 +15,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, held_out, stored
+from .common import U, batches, dropped, held_out, stored
 
 BITS = 20
 ORDERS = (4, 5, 6, 7)
-#: Bytes of a text whose n-grams are hashed at a time; the n-grams across the seam belong to the next piece.
+#: Characters of a text whose n-grams are hashed at a time.
 PIECE = 1 << 20
-#: Occurrences of an n-gram in a text beyond this many count no further.
-CAP = 20
 
 
-def hashed(text: bytes | None) -> Iterator[np.ndarray]:
-    """The hashed n-grams of a whole text, all positions, in arrays of bounded length."""
+def hashed(text: str | None) -> Iterator[np.ndarray]:
+    """The hashed n-grams of a whole text, each position once, in arrays of bounded length."""
     if not text:
         return
-    flat = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8)
+    flat = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     for start in range(0, len(flat), PIECE):
-        a = flat[max(0, start - max(ORDERS) + 1) : start + PIECE].astype(U)
+        before = min(start, max(ORDERS) - 1)
+        a = flat[start - before : start + PIECE].astype(U)
         x = a
         for n in range(2, max(ORDERS) + 1):
             if n > len(a):
                 break
             x = x[: len(a) - n + 1] * U(0x9E3779B97F4A7C15) + a[n - 1 :]
             if n in ORDERS:
-                yield ((mixed_once(x) >> U(64 - BITS))).astype(np.int32)
+                yield (mixed_once(x[max(0, before - n + 1) :]) >> U(64 - BITS)).astype(np.int32)
 
 
 def mixed_once(x: np.ndarray) -> np.ndarray:
@@ -53,16 +52,16 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def features(self, text: bytes | None) -> np.ndarray:
-        """How often each feature occurs in the whole text, up to CAP; place 0 is unused."""
+    def features(self, text: str | None) -> np.ndarray:
+        """How often each feature occurs in the whole text; place 0 is unused."""
         counts = np.zeros(len(self.weights), np.int64)
         for h in hashed(text):
             found = self.slots[h]
             counts += np.bincount(found[found > 0], minlength=len(counts))
-        return np.minimum(counts, CAP)
+        return counts
 
-    def score(self, text: bytes | None) -> float:
-        z = self.bias + float(self.features(text) @ self.weights)
+    def score(self, text: str | None) -> float:
+        z = self.bias + float(np.log1p(self.features(text)) @ self.weights)
         return float(1 / (1 + np.exp(-max(-500.0, z))))
 
     def column(self, text: Column) -> Column:
@@ -70,7 +69,7 @@ class Model:
         def of(texts: pa.Array) -> pa.Array:
             return pa.array([self.score(x.as_py()) for x in texts], pa.float64())
 
-        return of(text.cast("binary"))
+        return of(text.cast("string"))
 
 
 def counted(rows: DataFrame, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +119,7 @@ def logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, n: int,
 
 
 def fitted(rows: DataFrame, n_features: int = 6000, alpha: float = 0.5, penalty: float = 2e-4) -> Model:
-    """A model of a bounded number of (text binary, y int) rows."""
+    """A model of a bounded number of (text string, y int) rows."""
     zero, one = counted(rows)
     known = rows.groupBy().agg(F.sum("y").alias("one"), F.count("*").alias("n")).first()
     n, pos = known["n"], known["one"] or 0
@@ -143,14 +142,14 @@ def fitted(rows: DataFrame, n_features: int = 6000, alpha: float = 0.5, penalty:
                 for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                     counts = shell.features(text.as_py())
                     at = np.flatnonzero(counts)
-                    yield at.astype(np.int16).tobytes(), counts[at].astype(np.int8).tobytes(), y
+                    yield at.astype(np.int16).tobytes(), counts[at].astype(np.int32).tobytes(), y
 
         return batches(pa.schema([("f", pa.binary()), ("v", pa.binary()), ("y", pa.int32())]), rows_of())
 
     found = rows.mapInArrow(sparse, "f binary, v binary, y int").toPandas()
     lists = [np.frombuffer(f, np.int16) for f in found["f"]]
     at = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    values = np.frombuffer(b"".join(found["v"]), np.int8)
+    values = np.log1p(np.frombuffer(b"".join(found["v"]), np.int32))
     weights, bias = logistic(at, np.concatenate(lists), values, len(lists), scale, found["y"].to_numpy(np.float64), penalty)
     return Model(slots, weights, bias)
 
@@ -165,8 +164,11 @@ def trained(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], max_fit_r
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"), *fold)).groupBy("id").agg(F.max("y").alias("y"))
     half = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows // 2) for y in (0, 1)]
-    rows = docs.join(F.broadcast(half[0].union(half[1])), "id").select(F.col("text").cast("binary").alias("text"), "y")
-    return fitted(stored(rows.repartition(16), "toxic-fit"))
+    rows = docs.join(F.broadcast(half[0].union(half[1])), "id").select(F.col("text").cast("string").alias("text"), "y")
+    rows = stored(rows.repartition(16), "toxic-fit")
+    model = fitted(rows)
+    dropped(rows)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

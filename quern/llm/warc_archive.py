@@ -8,14 +8,13 @@ each range is merged from its runs by a loser tree, which gives one index ordere
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bloom, batches, shared_dir, stored
+from .common import Bloom, batches, new_path, stored
 
 CRLF = "\r\n"
 MARK = "WARC/1.1\r\n"
@@ -58,7 +57,7 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
 def records(judged_pages: DataFrame) -> DataFrame:
     """(value): one WARC record per row without the two line ends that close it."""
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    day = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = F.date_format(F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20")
     seam = F.col("html").contains(MARK)
     n = F.octet_length("html").cast("string")
@@ -190,7 +189,8 @@ INDEX = "url_key string, date timestamp, page_id long, type string, digest strin
 def capture_index(captures: DataFrame, target: int = 50_000) -> DataFrame:
     """Captures in ranges by (url_key, date, page_id), each range merged from the sorted runs of the reading tasks.
 
-    A run is one reading task's captures in order. Ranges are cut on all three keys, so captures of one URL, however
+    A run is one reading task's captures in order; a shuffle may hand over the parts of a run in any order, so they are put
+    in order again where a range is read. Ranges are cut on all three keys, so captures of one URL, however
     many, are dealt to several ranges; a range has about `target` captures, which is what a task holds at a time.
     """
     keys = ["url_key", "date", "page_id"]
@@ -206,13 +206,10 @@ def capture_index(captures: DataFrame, target: int = 50_000) -> DataFrame:
                 held.setdefault(run, []).append(((row[0], row[1] is not None, row[1], row[2] is not None, row[2]), row))
         lists = []
         for run in sorted(held):
-            rows = [(_Key(k), r) for k, r in held[run]]
-            if any(b[0] < a[0] for a, b in zip(rows, rows[1:])):
-                rows.sort(key=lambda x: x[0])
-            lists.append([_Entry(k, r) for k, r in rows])
+            lists.append([_Entry(_Key(k), r) for k, r in held[run]])
         return batches(schema, (tuple(e.row) for e in LoserTree(lists)), 4096)
 
-    return runs.repartitionByRange(ranges, *keys).select("run", *names).mapInArrow(merged, INDEX)
+    return runs.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys).select("run", *names).mapInArrow(merged, INDEX)
 
 
 class _Key(tuple):
@@ -245,11 +242,11 @@ def archived(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
 
     Null html is an empty payload. Among rows with equal payloads those with the smallest id are responses and the
     others revisits; a row with a null id is a response and is referred to by none. Null urls have no target line
-    and sort under a dash. Other columns are not looked at.
+    and sort under a dash. The date of a record is made of its id modulo 2 to the 31st, in seconds, so any id has one. Other columns are not looked at.
     """
     spark = pages.sparkSession
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    path = f"{shared_dir(spark)}/quern-warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write(judged(own, least), path)
     back = read(spark, path)
     same = (F.col("payload").isNull()) | ((base32(F.sha1(F.col("payload").cast("binary"))) == F.col("digest")) & (F.octet_length("payload") == F.col("size")))

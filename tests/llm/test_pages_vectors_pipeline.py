@@ -14,7 +14,7 @@ MARK = "\r\n\r\nWARC/1.1\r\n"
 PAGES = [
     (1, "http://www.a.org/x?q#f", "plain"), (2, "https://b.a.org", "plain"), (3, None, None), (4, "", ""), (5, "http://a.org/y z", f"x{MARK}é{MARK}{MARK[4:]}"),
     (6, "http://a.org/", MARK * 3), (7, "http://a.org/", "\r\n\r\n"), (8, "u", "WARC/1.1\r\n"), (9, "u", "\r\nWARC/1.1\r\n\r\nWARC/1.1\r\n"), (None, "u", "plain"), (2, "https://b.a.org", "plain"),
-    *((k, f"http://h{k % 3}.com/p", "same") for k in range(100, 140)),
+    *((k, f"http://h{k % 3}.com/p", "same") for k in range(100, 140)), *((k, "http://big.com/", f"id {k % 7}") for k in (-(10**12), 10**12, 5 * 10**18, -(2**63), 2**63 - 1, 2**31)),
 ]
 
 
