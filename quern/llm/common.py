@@ -288,8 +288,9 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
 class Bloom:
     """A set of longs in a bit array of at most 8 MB: it may hold more than was put in, never less.
 
-    The array is gathered in slices, so nothing that grows with the ids reaches one task or the driver; a set too
-    large for it lets more through, and the exact join behind it decides.
+    The array is made in slices by the shuffle, so nothing that grows with the ids reaches one task; the driver gets the
+    array. For more ids than it can tell apart there is no array and all pass: what is behind the filter must be
+    right, and bounded in what it moves, without it.
     """
 
     MOST = 1 << 26
@@ -299,29 +300,31 @@ class Bloom:
         """ids: one long column, read twice."""
         n, slices = ids.count(), self.SLICES
         size = 1 << 16
-        while size < min(self.MOST, 12 * n):
+        while size < 12 * n:
             size *= 2
         self.size = size
+        self.bits = None
+        if size > self.MOST:
+            return
+        own = size // slices
 
-        def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size, bool)
+        def marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                for at in self.places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                    bits[at] = True
-            yield _slices(range(slices), np.packbits(bits).reshape(slices, -1))
+                at = np.unique(np.concatenate(self.places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array((at // own).astype(np.int32)), pa.array((at % own).astype(np.int32))], names=["slice", "bit"])
 
         def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, np.ndarray] = {}
             for b in it:
-                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found[k] = found.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
-            yield _slices(list(found), list(found.values()))
+                k, bit = (b.column(i).to_numpy() for i in (0, 1))
+                for one in np.unique(k).tolist():
+                    found.setdefault(one, np.zeros(own, np.uint8))[bit[k == one]] = 1
+            yield _slices(list(found), [np.packbits(x) for x in found.values()])
 
-        kind = "slice int, bits binary"
-        rows = ids.coalesce(16).mapInArrow(partial, kind).repartition(8, "slice").mapInArrow(total, kind).collect()
-        packed = np.zeros((slices, size // 8 // slices), np.uint8)
+        rows = ids.mapInArrow(marks, "slice int, bit int").repartition(8, "slice").mapInArrow(total, "slice int, bits binary").collect()
+        packed = np.zeros((slices, own // 8), np.uint8)
         for r in rows:
-            packed[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
+            packed[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
         self.bits = packed.reshape(-1)
 
     def places(self, ids: np.ndarray) -> list[np.ndarray]:
@@ -330,12 +333,14 @@ class Bloom:
 
     def has(self, ids: np.ndarray) -> np.ndarray:
         out = np.ones(len(ids), bool)
-        for at in self.places(ids):
+        for at in self.places(ids) if self.bits is not None else ():
             out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
     def column(self, ids: Column) -> Column:
         """Whether the set may hold an id; false for null."""
+        if self.bits is None:
+            return ids.isNotNull()
 
         @F.arrow_udf("boolean")
         def of(x: pa.Array) -> pa.Array:
@@ -361,17 +366,24 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     a checksum of each round reach the driver.
     """
 
+    spark = edges.sparkSession
+    salts = 4 * partitions(spark)
+
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def with_least(rows: DataFrame) -> DataFrame:
+        """(u, v, m): m is the least v of u. The rows of one u are dealt to `salts` keys by v, for the join too."""
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        least = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("s"))
+        return dealt.join(least.select("u", "m", F.explode("s").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = sign(now)
     while seen[0]:
         both = now.union(now.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         new = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), name)
         was, seen = seen, sign(new)
         dropped(now)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, U, WordHashes, batches, components, dropped, mixed, partitions, shingle_set, stored, words
+from .common import Bloom, U, WordHashes, batches, components, dropped, free, mixed, partitions, shingle_set, stored, words
 
 
 @dataclass(frozen=True)
@@ -156,10 +156,15 @@ def _blocks(df: DataFrame, key: str, chunks: str) -> DataFrame:
 
 
 def candidates(sets: DataFrame, policy: Policy) -> DataFrame:
-    """Edges (a, b) whose classes hold every two sets with t matches: posting, prefix, blockwise merging."""
+    """Edges (a, b) whose classes hold every two sets with t matches: posting, prefix, blockwise merging.
+
+    Of lists that hold the same sets, as a group of copies has under all its coordinates, one is merged; they are
+    told by two 64-bit sums of hashed ids.
+    """
     posts = sets.select("id", F.explode("keys").alias("key"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = posts.join(lists, "key").join(sets.select("id", "sig"), "id")
+    who = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"w{k}") for k in (0, 1)]
+    lists = posts.groupBy("key").agg(F.count("*").alias("m"), *who).where("m > 1").groupBy("m", "w0", "w1").agg(F.min("key").alias("key"))
+    met = posts.join(lists.select("key", "m"), "key").join(sets.select("id", "sig"), "id")
     block = _blocks(met, "key", f"ceil(m / {policy.block})").select("key", "ci", "cj", "id", "sig", "block")
     return block.repartition(partitions(sets.sparkSession), "block").sortWithinPartitions("key", "ci", "cj").select("key", "ci", "cj", "id", "sig").mapInArrow(_merged(policy.threshold), "a long, b long")
 
@@ -212,23 +217,26 @@ def _confirmed(policy: Policy):
 def confirmed(classes: DataFrame, docs: DataFrame, policy: Policy) -> DataFrame:
     """Edges (a, b) of links between sets of a class, confirmed on full sets computed from the texts.
 
-    The sets are made where the texts are read, for ids that a Bloom filter of the classes lets through; only these move.
+    Only texts whose ids a Bloom filter of the classes lets through move to meet their class, once; where there are too
+    many ids for a filter, every text moves once. Sets are made there, and only those of the class go on to its blocks.
     """
     n, bloom = policy.shingle, Bloom(classes.select("id"))
-    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("chunks", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         memo = WordHashes()
         for b in it:
-            ids = b.column(0).to_numpy()
-            for k in np.flatnonzero(bloom.has(ids)).tolist():
-                yield int(ids[k]), shingle_set(memo.of(words(b.column(1)[k].as_py())), n).tobytes()
+            for key, chunks, i, size, text in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                made = shingle_set(memo.of(words(text.as_py())), n)
+                if len(made) == size:
+                    yield key, chunks, i, made.tobytes()
 
     sized = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     chunks = F.greatest(F.ceil(F.col("m") / policy.block), F.ceil(F.col("total") * 8 / (policy.block_mb << 20)))
     members = classes.join(sized, "component").select(F.col("component").alias("key"), chunks.cast("long").alias("chunks"), "id", "n")
-    made = docs.select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, sets(it), 256), "id long, hashes binary")
-    found = made.join(members, "id").where("length(hashes) = 8 * n").select("key", "chunks", "id", "hashes")
+    own = docs.where(bloom.column(F.col("id"))).select("id", F.col("text").cast("binary").alias("text"))
+    met = own.join(members.hint("merge"), "id").select("key", "chunks", "id", "n", "text")
+    found = met.mapInArrow(lambda it: batches(schema, sets(it), 256), "key long, chunks long, id long, hashes binary")
     block = _blocks(found, "key", "chunks").select("key", "ci", "cj", "id", "hashes", "block")
     return block.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("key", "ci", "cj").select("key", "ci", "cj", "id", "hashes").mapInArrow(_confirmed(policy), "a long, b long")
 
@@ -238,22 +246,23 @@ def near_duplicates(docs: DataFrame, policy: Policy = Policy(), id_col: str = "d
 
     Words are maximal runs of other bytes than space and 9 to 13, A-Z in lower case. Null and empty texts have an
     empty set and are linked with nothing; a null id is linked with nothing and has a null component. Repeated rows
-    and equal sets are one set, so groups of copies of any size cost one row each. Other columns are not looked at.
+    and equal sets are one set, so groups of copies of any size cost one row each. Rows of one id with different texts
+    are one node: what either is linked with is in one component. Other columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stored(signed(own, policy), "sets")
     whole = sets.where("n > 0 and id is not null")
     first = whole.groupBy("digest").agg(F.min("id").alias("id"))
     reps = stored(whole.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("id", "n", "digest", "sig", "keys"), "reps")
-    classes = components(candidates(reps, policy), "classes").withColumnRenamed("node", "id").join(reps.select("id", "n", "digest"), "id")
-    classes = stored(classes, "members")
-    texts = own.where("id is not null")
-    links = confirmed(classes, texts, policy)
-    comps = stored(components(links, "links"), "components").withColumnRenamed("node", "id")
+    tied = components(candidates(reps, policy), "classes")
+    classes = stored(tied.withColumnRenamed("node", "id").join(reps.select("id", "n", "digest"), "id"), "members")
+    found = components(confirmed(classes, own.where("id is not null"), policy), "links")
+    comps = found.withColumnRenamed("node", "id")
     known = reps.select("id", "digest").join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    dropped(classes)
     rows = sets.select("id", "n", "digest").join(known, "digest", "left")
-    return rows.select("id", "n", F.when(F.col("digest").isNotNull() & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
+    done = stored(rows.select("id", "n", F.when(F.col("digest").isNotNull() & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component")), "components")
+    dropped(sets, reps, tied, classes, found)
+    return done
 
 
 def deduplicated(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,12 +271,15 @@ def deduplicated(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_
     Columns are those of docs. Rows with a null id stay; a repeated row (same id, same text) stays once. Rows that a
     Bloom filter of the ids to drop and the repeated ids doesn't know stay where they are; the others are joined.
     """
-    found = stored(near_duplicates(docs, policy, id_col, text_col), "found").where("id is not null")
-    out = stored(found.where("id <> component").select("id").union(found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")).distinct(), "suspects")
+    found = near_duplicates(docs, policy, id_col, text_col)
+    known = found.where("id is not null")
+    out = stored(known.where("id <> component").select("id").union(known.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")).distinct(), "suspects")
+    gone = stored(known.where("id <> component").select("id").distinct(), "gone")
     bloom = Bloom(out)
+    dropped(found, out)
     key = F.col(id_col).cast("long")
-    sure = docs.where(~bloom.column(key))
-    unsure = docs.where(bloom.column(key)).withColumns({"__id": key, "__text": F.xxhash64(F.col(text_col))})
-    gone = found.where("id <> component").select(F.col("id").alias("__id")).distinct()
-    rest = unsure.join(gone, "__id", "left_anti").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return sure.unionByName(rest)
+    may = F.coalesce(bloom.column(key), F.lit(False))
+    own_id, own_text = free("id", docs.columns), free("text_hash", docs.columns)
+    unsure = docs.where(may).withColumns({own_id: key, own_text: F.xxhash64(F.col(text_col))})
+    rest = unsure.join(gone.withColumnRenamed("id", own_id), own_id, "left_anti").dropDuplicates([own_id, own_text]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~may).unionByName(rest)

@@ -85,6 +85,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicated(empty).count() == 0
 
 
+def test_without_a_filter_all_texts_move_and_no_link_is_lost(spark, docs):
+    old, common.Bloom.MOST = common.Bloom.MOST, 1
+    try:
+        got = minhash_dedup.near_duplicates(docs, minhash_dedup.Policy(3, 85)).collect()
+        kept = minhash_dedup.deduplicated(docs, minhash_dedup.Policy(3, 85))
+    finally:
+        common.Bloom.MOST = old
+    expected = linked(documents(), 3, 85)
+    assert {r.id: (r.n, r.component) for r in got} == expected
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
+
+
+def test_clashing_column_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    taken = docs.withColumns({c: F.lit("mine") for c in ("__id", "__text", "id", "text_hash", "stats", "__stats", "id_", "Stats_")})
+    labels = spark.createDataFrame([(i * 3 + 1, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for out in (minhash_dedup.deduplicated(taken), quality_rules.kept(taken, labels, 0.0), toxicity.clean(taken, labels, 1.1)):
+        assert out.columns == taken.columns
+        assert {tuple(r) for r in out.select("__id", "__text", "id", "stats", "Stats_").distinct().collect()} == {("mine",) * 5}
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(9, 9)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, **{i: 5000 for i in range(5000, 5201)}}
+
+
 def test_match_threshold_misses_few():
     p = minhash_dedup.Policy(3, 85)
     assert sum(math.comb(p.k, i) * 0.85**i * 0.15 ** (p.k - i) for i in range(p.threshold)) <= p.miss
