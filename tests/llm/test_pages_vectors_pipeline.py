@@ -151,7 +151,7 @@ def test_extracted_rows(spark):
 
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
-    rows = [(int(i), rng.normal(0, 1, 16).round(1).tolist()) for i in range(600)]
+    rows = [(int(i), rng.normal(0, 1, 16).round(1).tolist() if i % 3 else [0.5] * 16) for i in range(600)]
     rows += [(600, None), (620, [None] * 16), (640, [float("nan")] * 16), (660, [float("inf")] * 16), (None, [1.0] * 16), (680, [5.0] * 3), (40, [1.0] * 16), (700, [])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     good = [(i, np.pad(np.floor(64 * np.array(v, float)), (0, 16 - len(v)))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
@@ -160,12 +160,12 @@ def test_top_k_equals_brute_force(spark):
         if q % 20 == 0:
             best = sorted((-int(x @ y), i) for i, y in good if i != q)[:20]
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    saved = exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP
-    exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP = 16, 64, 8
+    saved = exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP, exact_topk.LIMITS
+    exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP, exact_topk.LIMITS = 16, 64, 8, 3
     try:
         got = exact_topk.top_k(df).collect()
     finally:
-        exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP = saved
+        exact_topk.BLOCK, exact_topk.RANGE, exact_topk.GROUP, exact_topk.LIMITS = saved
     assert sorted(tuple(r) for r in got) == sorted(expected)
     assert exact_topk.top_k(df.where("false")).count() == 0
 
@@ -174,7 +174,7 @@ def test_blocks_below_the_kth_score_are_left_out():
     ids = np.arange(64 * exact_topk.BLOCK // 16)
     x = np.ones((len(ids), 4), np.float32)
     x[exact_topk.BLOCK :] = -1
-    who, found, scores, visited = exact_topk.pruned(np.array([-1]), np.ones((1, 4), np.float32), ids, x, 5, np.full(1, -np.inf))
+    who, found, scores, visited = exact_topk.pruned(np.array([-1]), np.ones((1, 4), np.float32), ids, x, 5, np.full(1, -np.inf), np.full(1, 1 << 62))
     assert visited == 1 and found.tolist() == [0, 1, 2, 3, 4] and scores.tolist() == [4] * 5
 
 
