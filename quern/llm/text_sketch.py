@@ -45,29 +45,32 @@ def digests(text: str, memo: WordHashes) -> np.ndarray:
     return mixed(values + run.astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def _cells(keys: np.ndarray, tables: np.ndarray, size: int) -> np.ndarray:
+def _cells(keys: np.ndarray, tables: np.ndarray, size: int, salt: int) -> np.ndarray:
     """The three cells of each key in its table; tables of `size` cells lie one after another."""
     third = size // 3
-    h = mixed(keys ^ U(0xA5A5A5A5A5A5A5A5))
+    h = mixed(mixed(keys ^ U(0xA5A5A5A5A5A5A5A5)) + U(salt)) if salt else mixed(keys ^ U(0xA5A5A5A5A5A5A5A5))
+    if third >= 1 << 20:  # 21 bits would not reach all cells
+        return np.stack([tables * size + j * third + (mixed(h + U(j)) % U(third)).astype(np.int64) for j in range(3)])
     return np.stack([tables * size + j * third + ((h >> U(21 * j)) & U(0x1FFFFF)).astype(np.int64) % third for j in range(3)])
 
 
 @dataclass
 class Tables:
-    """n tables of `size` cells each."""
+    """n tables of `size` cells each; the salt deals the same keys to other cells."""
 
     size: int
     count: np.ndarray
     key: np.ndarray
     check: np.ndarray
+    salt: int = 0
 
     @classmethod
-    def empty(cls, n: int, size: int) -> Tables:
-        return cls(size, np.zeros(n * size, np.int32), np.zeros(n * size, U), np.zeros(n * size, U))
+    def empty(cls, n: int, size: int, salt: int = 0) -> Tables:
+        return cls(size, np.zeros(n * size, np.int32), np.zeros(n * size, U), np.zeros(n * size, U), salt)
 
     def add(self, keys: np.ndarray, tables: np.ndarray, signs: np.ndarray) -> None:
         """Adds keys (sign 1) or takes them out (sign -1)."""
-        at = _cells(keys, tables, self.size).reshape(-1)
+        at = _cells(keys, tables, self.size, self.salt).reshape(-1)
         wrap = signs.astype(np.int64).view(U)
         order = np.argsort(at, kind="stable")
         cells = at[order]
@@ -79,9 +82,9 @@ class Tables:
             out[where] += np.add.reduceat(np.tile(values, 3)[order], starts)
         self.count[where] += np.add.reduceat(np.tile(signs.astype(np.int32), 3)[order], starts)
 
-    def peeled(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per table how many keys came out with sign 1 and with sign -1, and whether nothing is left in it."""
-        plus, minus = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    def peeled(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys that came out, the table and the sign of each, and for each table whether nothing is left in it."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         look = np.flatnonzero(self.count)
         while len(look):
             sign = self.count[look]
@@ -95,13 +98,13 @@ class Tables:
             tables = one // self.size
             _, first = np.unique(keys ^ mixed(tables.astype(U) + U(1)), return_index=True)
             keys, tables, signs = keys[first], tables[first], self.count[one[first]]
-            plus += np.bincount(tables[signs > 0], minlength=n)
-            minus += np.bincount(tables[signs < 0], minlength=n)
+            out.append((keys, tables, signs))
             self.add(keys, tables, -signs)
-            look = np.unique(_cells(keys, tables, self.size))
+            look = np.unique(_cells(keys, tables, self.size, self.salt))
             look = look[self.count[look] != 0]
         left = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        return plus, minus, ~left.reshape(n, self.size).any(axis=1)
+        keys, tables, signs = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, t) for k, t in enumerate((U, np.int64, np.int32)))
+        return keys, tables, signs, ~left.reshape(n, self.size).any(axis=1)
 
     def text(self, table: int) -> str:
         """A table as text; equal tables have equal texts."""
@@ -123,32 +126,38 @@ def published(sets: list[np.ndarray]) -> list[str]:
     return [made.text(i) for i in range(len(sets))]
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """For each pair of sets twice the number they share over the sum of their sizes; 1 for two empty ones.
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, number of the pair, sign): 1 for what only the first set of a pair holds, -1 for the second.
 
-    Found by peeling differences of tables: first of the published size, then, for pairs that fail, ever larger ones.
+    Tables of both are subtracted and peeled: first of the published size, then, for pairs that fail, ever larger ones
+    with another deal of the digests to the cells, until none is left.
     """
-    sizes = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
-    differ = np.zeros(len(a), np.int64)
-    todo, size = np.arange(len(a)), CELLS
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    todo, size, salt = np.arange(len(a)), CELLS, 0
     while len(todo):
         later = []
         step = max(1, (1 << 19) // size)
         for start in range(0, len(todo), step):
             part = todo[start : start + step]
-            made = Tables.empty(len(part), size)
+            made = Tables.empty(len(part), size, salt)
             for sets, sign in ((a, 1), (b, -1)):
                 keys, tables = _flat([sets[i] for i in part])
                 made.add(keys, tables, np.full(len(keys), sign))
-            plus, minus, done = made.peeled(len(part))
-            differ[part[done]] = (plus + minus)[done]
+            keys, tables, signs, done = made.peeled(len(part))
+            whole = done[tables]
+            found.append((keys[whole], part[tables[whole]], signs[whole]))
             later.append(part[~done])
-        todo, size = np.concatenate(later), size * GROWTH
-        exact = todo[size > 64 * sizes[todo] + 4096]
-        for i in exact:
-            differ[i] = len(np.setxor1d(a[i], b[i]))
-        todo = todo[size <= 64 * sizes[todo] + 4096]
-    return np.where(sizes > 0, 1 - differ / np.maximum(sizes, 1), 1.0)
+        todo, salt = np.concatenate(later), salt + 1
+        most = max((len(a[i]) + len(b[i]) for i in todo), default=0)
+        size = min(size * GROWTH, 3 * max(CELLS, most))  # with three cells a digest nearly every deal succeeds
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sets twice the number they share over the sum of their sizes; 1 for two empty ones."""
+    sizes = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    _, pair, _ = differences(a, b)
+    return np.where(sizes > 0, 1 - np.bincount(pair, minlength=len(a)) / np.maximum(sizes, 1), 1.0)
 
 
 FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -218,8 +218,12 @@ def test_small_tables_fail_and_larger_ones_peel():
     made = text_sketch.Tables.empty(1, text_sketch.CELLS)
     made.add(a, np.zeros(len(a), int), np.ones(len(a), int))
     made.add(b, np.zeros(len(b), int), -np.ones(len(b), int))
-    assert not made.peeled(1)[2][0]
+    assert not made.peeled(1)[3][0]
     assert text_sketch.likeness([a], [b])[0] == pytest.approx(2 * 2500 / (len(a) + len(b)))
+    keys, pair, sign = text_sketch.differences([a, a, b[:3]], [b, a, b[:0]])
+    for k, x, y in ((0, a, b), (1, a, a), (2, b[:3], b[:0])):
+        assert np.array_equal(np.sort(keys[(pair == k) & (sign > 0)]), np.setdiff1d(x, y))
+        assert np.array_equal(np.sort(keys[(pair == k) & (sign < 0)]), np.setdiff1d(y, x))
 
 
 def test_language_model_equals_a_plain_one(spark, docs):
