@@ -24,7 +24,7 @@ END = b" end "
 #: Pseudo-count of the word distribution in every context (Dirichlet smoothing).
 PRIOR = 500.0
 #: Tokens in a block; a longer text is a block of its own.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Tokens of the corpus for each partition of keys: a task of counts reads some 10 bytes for each distinct pair of a block.
 PART = 2_000_000
 #: Tokens of a text that one lane of the traversal takes; the next lane starts from the state there.
