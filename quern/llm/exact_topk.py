@@ -2,8 +2,8 @@
 
 Candidates lie in blocks of neighbouring ids, each with a forward index (its vectors) and the largest and smallest value
 of each component. The sum of the maxima that a query's components can reach bounds every score in a block. A query
-visits blocks by falling bound and stops when the bound is below its k-th score. A first round over two ranges of
-blocks, the query's own and that of the smallest ids, gives every query a k-th (score, id) to start from. The extremes
+visits blocks by falling bound and stops when the bound is below its k-th score. A first round over few ranges of
+blocks, the query's own and those of the smallest ids, gives every query a k-th (score, id) to start from. The extremes
 of whole ranges are a table of their own: only queries whose bound there reaches their start are sent to a range.
 """
 
@@ -22,6 +22,8 @@ from .common import stored
 BLOCK, RANGE, GROUP = 256, 4096, 512
 #: Ranges whose extremes lie in one row.
 LIMITS = 1024
+#: Vectors of the smallest ids that every query begins with, beside its own range, and most ranges that hold them.
+LEADING, LEADS = 16_384, 64
 
 INDEXED = "kind int, range long, n int, ids binary, vectors binary, home long, least long, limits binary"
 _INDEXED = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("home", pa.int64()), ("least", pa.int64()), ("limits", pa.binary())])
@@ -179,7 +181,12 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     index = stored(indexed(vectors, F.pmod("id", F.lit(every)) == 0, dims), "vectors")
     ranges = index.where("kind = 0").select("range", F.col("n").alias("xn"), F.col("ids").alias("xids"), F.col("vectors").alias("x"))
     groups = index.where("kind = 1").select(F.col("range").alias("group"), "n", "ids", "vectors", "home")
-    lead = index.where("kind = 0").agg(F.min_by("range", F.struct("least", "range")).alias("range"), F.count("*").alias("n")).first()
+    n_ranges = index.where("kind = 0").count()
+    lead, seen = [], 0
+    for r in index.where("kind = 0").select("range", "n").orderBy("least", "range").limit(LEADS).collect():
+        if seen < LEADING:
+            lead.append(r["range"])
+            seen += r["n"]
     nothing = np.iinfo(np.int64).max
 
     def first_round(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +195,11 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 who, found, scores, _ = pruned(np.frombuffer(q_ids, np.int64), _vectors(q, n, dims), np.frombuffer(ids, np.int64), _vectors(x, xn, dims), k, np.full(n, -np.inf), np.full(n, nothing))
                 yield pa.RecordBatch.from_arrays([pa.array([g]), *(pa.array([v.astype(np.int64).tobytes()], pa.binary()) for v in (who, found, scores))], names=["group", "who", "found", "scores"])
 
-    # the range of the smallest ids too, to which ties go
-    goes = groups.withColumn("range", F.explode(F.array_distinct(F.array("home", F.lit(lead["range"]).cast("long"))))).join(ranges, "range")
+    # the ranges of the smallest ids too, to which ties go
+    goes = groups.withColumn("range", F.explode(F.array_distinct(F.array("home", *[F.lit(x).cast("long") for x in lead])))).join(ranges, "range")
     begun = goes.select("group", "n", "ids", "vectors", "xn", "xids", "x").mapInArrow(first_round, "group long, who binary, found binary, scores binary")
     begun = stored(begun.groupBy("group").agg(F.collect_list(F.struct("who", "found", "scores")).alias("begun")), "begun")
-    shelves = -(-(lead["n"] or 0) // LIMITS)
+    shelves = -(-n_ranges // LIMITS)
     limits = index.where("kind = 0").select(F.pmod(F.xxhash64("range"), F.lit(max(1, shelves))).cast("int").alias("shelf"), "range", "least", "limits")
     limits = limits.groupBy("shelf").agg(F.collect_list(F.struct("range", "least", "limits")).alias("limits"))  # some LIMITS ranges
     told = groups.join(begun, "group").withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(max(0, shelves - 1))))).join(limits, "shelf")
