@@ -7,23 +7,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..policy import ARTIFACTS, FULL_WIDTH, LINE_BREAK, SECTION, SPACES, Policy
+from ..policy import ARTIFACTS, FULL_WIDTH, LINE_BREAK, SECTION, Policy
+
+
+#: Characters that normal form C leaves as they are, whatever their neighbours but combining marks: up to U+02FF, dashes and
+#: quotation marks, unified ideographs and their punctuation, full-width forms. Only texts with others leave the JVM.
+_STABLE = r"^[\x{0}-\x{2FF}\x{2010}-\x{2027}\x{3001}-\x{3029}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF5E}]*$"
+_SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_RARE_BREAKS = r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def nfc(x: Column) -> Column:
-    """Unicode normal form C; the one normalisation without a builtin, done on whole Arrow batches."""
+    """Unicode normal form C; the one normalisation without a builtin, done on Arrow batches of the texts that may need it."""
 
     def normal(texts: pa.Array) -> pa.Array:
-        from unicodedata import is_normalized, normalize
+        from unicodedata import normalize
 
-        return pa.array([t if t is None or t.isascii() or is_normalized("NFC", t) else normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+        return pa.array([t if t is None else normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    return F.arrow_udf(normal, StringType())(x)
+    return F.coalesce(F.arrow_udf(normal, StringType())(F.when(~x.rlike(_STABLE), x)), x)
 
 
 def stripped(x: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(x, f"^{SPACES}|{SPACES}$", "")
+    return F.btrim(x, F.lit(_SPACE_CHARS))
 
 
 def full_width(x: Column) -> Column:
@@ -32,7 +39,7 @@ def full_width(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Lines at all ten terminators, CRLF as one; the empty end after a last terminator stays and is filtered later."""
-    return F.split(x, LINE_BREAK, -1)
+    return F.when(x.rlike(_RARE_BREAKS), F.split(x, LINE_BREAK, -1)).otherwise(F.split(x, "\n", -1))
 
 
 def canonical(x: Column, policy: Policy) -> Column:
@@ -41,16 +48,25 @@ def canonical(x: Column, policy: Policy) -> Column:
 
 
 def letter_count(x: Column, policy: Policy) -> Column:
-    return F.regexp_count(x, F.lit(f"[{policy.letters}]"))
+    return F.length(F.regexp_replace(x, f"[^{policy.letters}]+", ""))
 
 
 def allowed(x: Column, policy: Policy) -> Column:
     return x.rlike(policy.allowed)
 
 
+def characters(x: Column) -> Column:
+    """The characters of a text; of an empty one none."""
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
 def shingles(x: Column, n: int = 5) -> Column:
-    """The set of n-character shingles; a shorter text is its own, an empty one the empty string."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - (n - 1))), lambda i: F.substring(x, i, F.lit(n))))
+    """The set of n-character shingles; a shorter text is its own, an empty one the empty string.
+
+    The text is cut into characters once, so the work grows with its length."""
+    c = characters(x)
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (n - 1))), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    return F.array_distinct(own)
 
 
 def anchors(x: Column, n: int = 5, k: int = 8) -> Column:
@@ -118,14 +134,12 @@ def reject_reason(x: Column, policy: Policy, converted: Column | None = None) ->
     converted is the line after dictionary conversion; lines outside the alphabet never need it, and it is tested again.
     """
     y = x if converted is None else converted
-    n = letter_count(y, policy)
-    return (
-        F.when(~allowed(x, policy) | ~allowed(y, policy), "symbols")
-        .when(artifact_reason(y).isNotNull(), artifact_reason(y))
-        .when(n < policy.least, "short")
-        .when(F.length(y) > policy.most, "long")
-        .when(repeated_character(y, policy.run), "repeated_character")
-    )
+    foreign = ~allowed(x, policy) if converted is None else ~allowed(x, policy) | ~allowed(y, policy)
+    out = F.when(foreign, "symbols")
+    if policy.full_width:  # artifacts hold full-width marks; an alphabet without these has none
+        out = out.when(artifact_reason(y).isNotNull(), artifact_reason(y))
+    out = out.when(letter_count(y, policy) < policy.least, "short").when(F.length(y) > policy.most, "long")
+    return out.when(repeated_character(y, policy.run), "repeated_character")
 
 
 def converted(x: Column, mapping: dict[str, str]) -> Column:

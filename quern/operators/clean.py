@@ -20,7 +20,9 @@ def lines(docs: DataFrame, policy: Policy, key: str = "doc_id", text: str = "tex
 def judged(docs: DataFrame, policy: Policy = LATIN_STRICT, key: str = "doc_id", text: str = "text", converted=None) -> DataFrame:
     """lines() with the reason that rejects each, null for kept ones."""
     own = lines(docs, policy, key, text)
-    out = own.withColumn("converted", converted(F.col("line"))) if converted else own.withColumn("converted", F.col("line"))
+    if converted is None:
+        return own.withColumn("reason", T.reject_reason(F.col("line"), policy))
+    out = own.withColumn("converted", converted(F.col("line")))
     return out.select(key, "line_no", F.col("converted").alias("line"), T.reject_reason(F.col("line"), policy, F.col("converted")).alias("reason"))
 
 
@@ -40,7 +42,8 @@ def segments(docs: DataFrame, policy: Policy = LATIN_STRICT, key: str = "doc_id"
     starts the next; only runs with `least` letters and no quality reason stay."""
     own = lines(docs, policy, key, text)
     line = F.col("line")
-    wrong = bad(line) if bad else ~T.allowed(line, policy) | T.artifact_reason(line).isNotNull() | T.spam(line, policy.phrases) | T.repeated_unit(line)
+    artifact = T.artifact_reason(line).isNotNull() if policy.full_width else F.lit(False)  # they hold full-width marks
+    wrong = bad(line) if bad else ~T.allowed(line, policy) | artifact | T.spam(line, policy.phrases) | T.repeated_unit(line)
     flagged = own.withColumns({"bad": wrong, "head": boundary(line) if boundary else T.boundary(line)})
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = flagged.withColumn("segment", F.sum((F.col("bad") | F.col("head")).cast("long")).over(order)).where("NOT bad")

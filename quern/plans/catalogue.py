@@ -27,10 +27,13 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; documents in fewer partitions than there are cores are dealt out, as their texts are the work."""
+    """A driver table. A small one of documents, read by fewer tasks than there are cores, is dealt out, as its texts are the
+    work; a table of more than some MB a core is read by more tasks than that and stays where it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name != "documents":
+        return df
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 # ---- SQL that several oracles begin with ------------------------------------------------------------------------------
@@ -116,8 +119,8 @@ def split_summary(spark, d):
 def family_domain_totals(spark, d):
     """A4: all groupings in one pass."""
     docs = table(spark, d, "documents").select(sampling.split(F.col("doc_id")).alias("split"), "source", "lang", T.letter_count(F.coalesce("text", F.lit("")), LATIN_STRICT).alias("letters"))
-    docs.createOrReplaceTempView("quern_totals")
-    return spark.sql("SELECT split, source, lang, count(*) AS n, sum(letters) AS letters FROM quern_totals GROUP BY GROUPING SETS ((split), (source), (lang), ())")
+    sets = [[F.col(c)] for c in ("split", "source", "lang")] + [[]]
+    return docs.groupingSets(sets, "split", "source", "lang").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
 
 
 def _records(spark, d) -> DataFrame:

@@ -12,7 +12,6 @@ HAN_RANGES = (
 HAN_MARKS = "，。！？；：、（）《》〈〉“”‘’「」『』【】〔〕…—·"
 FULL_WIDTH = {",": "，", ".": "。", "!": "！", "?": "？", ";": "；", ":": "：", "(": "（", ")": "）"}
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 # Leftovers of markup removal, in the order they are tested.
