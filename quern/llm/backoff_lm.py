@@ -26,7 +26,7 @@ PRIOR = 500.0
 #: Tokens in a block; a longer text is a block of its own.
 BLOCK = 500_000
 #: Tokens of the corpus for each partition of keys: a task of counts reads some 10 bytes for each distinct pair of a block.
-PART = 2_000_000
+PART = 1_000_000
 #: Tokens of a text that one lane of the traversal takes; the next lane starts from the state there.
 LANE = 512
 
@@ -275,7 +275,7 @@ def scored(docs: DataFrame, fold: tuple[int, int] = (7, 2), id_col: str = "doc_i
 
     told_rows = answers.select("block", "part", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "valid", "held", "lengths", "words", "tokens")), "uni", "bi")
     both = blocks.select("block", "part", "ids", "valid", "held", "lengths", "words", "tokens", *(F.lit(None).cast("binary").alias(c) for c in ("uni", "bi"))).unionByName(told_rows)
-    tasks = max(partitions(spark), -(-n_blocks // 4))
+    tasks = max(partitions(spark), n_blocks)
     found = stored(both.repartition(tasks, "block").sortWithinPartitions("block", "part").mapInArrow(run, SCORED), "lm-scores")
     dropped(blocks, answers)
     return found
