@@ -257,3 +257,20 @@ def layout_rows(x: Column, columns: int = 20) -> Column:
 def text_id_ordinal(seed: str, key: Column, modulus: int = 1000) -> Column:
     """The first 32 bits of SHA-256 of seed:key, modulo."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), key.cast("string")), 256), 1, 8), 16, 10).cast("long") % modulus
+
+
+def typed_numbers(x: Column, forms: dict[str, str]) -> Column:
+    """Numbers as the names of their forms in angle brackets, in the order of the forms."""
+    for name, pattern in forms.items():
+        x = F.regexp_replace(x, pattern, f"<{name}>")
+    return x
+
+
+def legal_prefix(docs, key: str, text: Column, policy: Policy):
+    """(key, legal, sentence, letters, substantial): the length of the longest beginning of the alphabet, of it up to its last
+    sentence end, its letters, and whether these are 8 or more, 4 of them distinct."""
+    begun = docs.select(key, F.regexp_extract(text, f"^[{policy.letters}{policy.marks}]*", 0).alias("p"))
+    letters = F.filter(characters(F.col("p")), lambda c: c.rlike(f"[{policy.letters}]"))
+    own = begun.select(key, "p", F.regexp_extract("p", r"(?s)^.*[.!?]", 0).alias("s"), letters.alias("l"))
+    n = F.size("l").cast("long")
+    return own.select(key, F.length("p").cast("long").alias("legal"), F.length("s").cast("long").alias("sentence"), n.alias("letters"), ((n >= 8) & (F.size(F.array_distinct("l")) >= 4)).alias("substantial"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rules): rows that break rules, with the names of those."""
@@ -89,3 +91,16 @@ def replaced(base: DataFrame, covered: DataFrame, new: DataFrame, key: str) -> D
     part = F.coalesce(F.col("__c"), F.lit(0))
     kept = state.withColumn("__ok", F.when((part > 0) & (part < F.col("parent_count")), F.raise_error(F.lit("partly covered"))).otherwise(part == 0)).where("__ok").drop("__c", "__ok")
     return kept.unionByName(new, allowMissingColumns=True)
+
+
+def length_gate(text: Column, least: int = 1024, most: int = 200_000) -> Column:
+    """short, fit, or opaque for texts too long to be taken apart."""
+    return F.when(F.length(text) > most, "opaque").when(F.length(text) < least, "short").otherwise("fit")
+
+
+def renderable(docs: DataFrame, key: str, text: str, supported: DataFrame) -> DataFrame:
+    """(key, missing, renderable): distinct characters of each text that the supported ones (char) lack."""
+    chars = docs.select(key, F.explode(F.array_distinct(T.characters(F.coalesce(text, F.lit(""))))).alias("char"))
+    missing = chars.join(supported.select("char"), "char", "left_anti").groupBy(key).agg(F.count("*").alias("missing"))
+    found = docs.select(key).join(missing, key, "left").select(key, F.coalesce("missing", F.lit(0)).alias("missing"))
+    return found.withColumn("renderable", F.col("missing") == 0)

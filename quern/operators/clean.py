@@ -66,3 +66,15 @@ def units(rows: DataFrame, policy: Policy, minimum: Column, adapter: str = "adap
     plain = plain.withColumn("unit", T.stripped(T.full_width(F.col("raw")))).drop("raw").withColumn("body", F.col("unit")).where(T.allowed(F.col("unit"), policy))
     whole = qa.unionByName(article).unionByName(plain).where("unit IS NOT NULL AND length(unit) <= 4096")
     return whole.where(T.letter_count(F.col("body"), policy) >= minimum)
+
+
+def records(docs: DataFrame, policy: Policy, file: str, revision: str, metadata: list[str], split: Column) -> DataFrame:
+    """Kept paragraphs as records of 13 fields; docs has doc_id, text, source and lang. Metadata are the JSON of the named
+    columns, without those that are null."""
+    about = docs.select("doc_id", "source", "lang", F.to_json(F.struct(*metadata)).alias("source_metadata"), split.alias("split"))
+    own = paragraphs(docs, policy).join(about, "doc_id")
+    return own.select(
+        F.concat_ws(":", "doc_id", "line_no").alias("sample_id"), F.col("doc_id").alias("source_page_id"), F.lit(file).alias("source_file"), F.lit(revision).alias("source_file_revision"),
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source_url"), F.col("source").alias("source_family"), F.col("lang").alias("domain"), F.lit("source").alias("domain_method"),
+        "source_metadata", "text", "text_sha256", "split", "letters",
+    )

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, rounded to six places; `empty` where b is 0."""
@@ -59,11 +61,11 @@ def packed_bytes(bits: Column) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.lpad(F.hex(F.aggregate(F.slice(bits, g * 8 + 1, F.lit(8)), F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))), 2, "0")), "")
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int, own: bool = False, most: int = 100_000) -> DataFrame:
-    """(query_id, rank, id, distance): k nearest by Hamming distance of long `bits`, ties to the smaller id.
+def paired(queries: DataFrame, gallery: DataFrame, own: bool = False, most: int = 100_000) -> DataFrame:
+    """(query_id, q, id, g): each query with each item of the gallery, its own only if so wanted.
 
     The gallery is broadcast if it has at most `most` rows, which is counted; a larger one is dealt in blocks with the
-    query set sent to each and the best k of every block merged.
+    query set sent to each.
     """
     g = gallery.select(F.col("id"), F.col("bits").alias("g"))
     q = queries.select(F.col("id").alias("query_id"), F.col("bits").alias("q"))
@@ -73,7 +75,16 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, own: bool = False, m
     else:
         blocks = -(-n // most)
         dealt = g.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        pairs = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "b")
+        pairs = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "b").drop("b")
+    return pairs if own else pairs.where("query_id <> id")
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, own: bool = False, most: int = 100_000) -> DataFrame:
+    """(query_id, rank, id, distance): k nearest by Hamming distance of long `bits`, ties to the smaller id.
+
+    Blocks of a large gallery each give their best k.
+    """
+    pairs = paired(queries, gallery, True, most)
     near = pairs if own else pairs.where("query_id <> id")
     near = near.select("query_id", "id", F.bit_count(F.col("q").bitwiseXOR(F.col("g"))).cast("long").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -82,7 +93,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, own: bool = False, m
 
 def best_overlap(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """(query_id, id, f1, margin): best F1 of set bits in the gallery, its lead over the second, ties to the smaller id."""
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("bits").alias("q")).join(F.broadcast(gallery.select("id", F.col("bits").alias("g")))).where("query_id <> id")
+    pairs = paired(queries, gallery)
     both = F.bit_count(F.col("q").bitwiseAND(F.col("g")))
     f1 = ratio(2 * both, F.bit_count("q") + F.bit_count("g"))
     order = Window.partitionBy("query_id").orderBy(F.desc("f1"), "id")
@@ -107,3 +118,58 @@ def learning_rate(step: Column, warm: int, total: int, peak: float, floor: float
     """Linear warm-up, then a cosine to the floor."""
     part = F.least(F.lit(1.0), (step - warm) / F.lit(float(max(1, total - warm))))
     return F.when(step < warm, F.lit(peak) * (step + 1) / warm).otherwise(floor + 0.5 * (peak - floor) * (1 + F.cos(F.pi() * part)))
+
+
+def gathered_ink(tokens: DataFrame, items: DataFrame, by: str) -> DataFrame:
+    """(by, tokens, ink): tokens (by, id) joined with the bitmaps (id, bits) of their items, set bits summed."""
+    joined = tokens.groupBy(by, "id").agg(F.count("*").alias("c")).join(items.select("id", F.bit_count("bits").alias("ink")), "id")
+    return joined.groupBy(by).agg(F.sum("c").alias("tokens"), F.sum(F.col("c") * F.col("ink")).cast("long").alias("ink"))
+
+
+def content_nearest(queries: DataFrame, gallery: DataFrame, content: Column, k: int) -> DataFrame:
+    """nearest() among content, from the k + c nearest of the whole gallery, c being how many items are no content."""
+    other = gallery.where(~content).count()
+    near = nearest(queries, gallery, k + other).join(gallery.where(content).select("id"), "id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def best_product(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query_id, id, common): the item with most set bits in common, of equals the smaller id."""
+    pairs = paired(queries, gallery).select("query_id", "id", F.bit_count(F.col("q").bitwiseAND(F.col("g"))).cast("long").alias("common"))
+    return pairs.groupBy("query_id").agg(F.max(F.struct("common", (-F.col("id")).alias("i"))).alias("x")).select("query_id", (-F.col("x.i")).alias("id"), F.col("x.common").alias("common"))
+
+
+def ladders(rows: DataFrame, distance: str, most: tuple[int, ...], overlap: str, least: tuple[float, ...]) -> DataFrame:
+    """One row: items, and the shares of all of them within each distance and at or above each overlap."""
+    share = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
+    return rows.agg(F.count("*").alias("items"), *[share(F.col(distance) <= x).alias(f"within_{x}") for x in most], *[share(F.col(overlap) >= x).alias(f"f1_{int(100 * x)}") for x in least])
+
+
+def paired_f1(rows: DataFrame, key: str, first: Column, second: Column, truth: Column, resamples: int) -> DataFrame:
+    """One row: F1 of two predictions over the same rows, their difference, and in which share of resamples the first is larger.
+
+    A resample weighs each row, for both predictions alike, by a Poisson number from the hash of its key; all resamples are
+    summed in one pass over the rows.
+    """
+    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+    def weight(r: int) -> Column:
+        u = T.text_id_ordinal(str(r), F.col(key), 1_000_000) / 1_000_000.0
+        return sum(((u >= c).cast("int") for c in cuts), F.lit(0))
+
+    sums = []
+    for r in range(-1, resamples):
+        w = F.lit(1) if r < 0 else weight(r)
+        for k, p in enumerate((first, second)):
+            sums += [F.sum(F.when(p & truth, w).otherwise(0)).alias(f"h{k}_{r + 1}"), F.sum(F.when(p != truth, w).otherwise(0)).alias(f"e{k}_{r + 1}")]
+    s = rows.agg(*sums)
+    f1 = lambda k, r: F.coalesce(2 * F.col(f"h{k}_{r}") / F.nullif(2 * F.col(f"h{k}_{r}") + F.col(f"e{k}_{r}"), F.lit(0)), F.lit(0.0))
+    larger = sum(((f1(0, r) > f1(1, r)).cast("int") for r in range(1, resamples + 1)), F.lit(0))
+    return s.select(F.round(f1(0, 0), 6).alias("first"), F.round(f1(1, 0), 6).alias("second"), F.round(f1(0, 0) - f1(1, 0), 6).alias("difference"), F.round(larger / resamples, 6).alias("probability"))
+
+
+def deltas(baseline: DataFrame, control: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Control minus baseline of each measure, paired by the keys."""
+    a, b = baseline.alias("a"), control.alias("b")
+    return a.join(b, keys).select(*keys, *[F.round(F.col(f"b.{m}") - F.col(f"a.{m}"), 6).alias(f"d_{m}") for m in measures])

@@ -164,3 +164,33 @@ def runs(joined: DataFrame, key: str = "doc_id") -> DataFrame:
     numbered = joined.withColumn("run", F.sum((~F.col("join")).cast("long")).over(w))
     g = numbered.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "parent", "line"))).alias("x"))
     return g.select(key, "run", F.col("x")[0]["line_no"].alias("first_raw_line"), F.element_at("x", -1)["line_no"].alias("last_raw_line"), F.col("x")[0]["parent"].alias("parent_start"), F.size("x").alias("parent_count"), F.array_join("x.line", "\n").alias("text"))
+
+
+def budget_trim(docs: DataFrame, order: str, length: str, budget: int) -> DataFrame:
+    """(order, kept): documents in order up to a global budget of units; the last one is trimmed to what is left of it."""
+    placed = offsets(docs.select(order, length), order, length).where((F.col("offset") < budget) & (F.col(length) > 0))
+    return placed.select(order, F.least(F.col(length), F.lit(budget) - F.col("offset")).cast("long").alias("kept"))
+
+
+def padded(rows: DataFrame, batch: str, length: str, multiple: int, cap: int) -> DataFrame:
+    """(batch, width, padding, trimmed): width is the longest row up to a multiple and a cap."""
+    width = F.least(F.lit(cap), F.floor((F.max(length) + multiple - 1) / multiple) * multiple).cast("long")
+    joined = rows.join(rows.groupBy(batch).agg(width.alias("width")), batch)
+    over = F.col(length) - F.col("width")
+    return joined.groupBy(batch).agg(F.max("width").alias("width"), F.sum(F.greatest(F.lit(0), -over)).cast("long").alias("padding"), F.sum(F.greatest(F.lit(0), over)).cast("long").alias("trimmed"))
+
+
+def run_proof(found: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """One row: parents, lines that runs cover, and how many are missing, repeated or out of order.
+
+    A run's text is taken apart at its line feeds and held against the parents' texts in the order of their lines.
+    """
+    apart = found.select(key, "run", "parent_start", "parent_count", F.posexplode(F.split("text", "\n")).alias("at", "line")).select(key, (F.col("parent_start") + F.col("at")).alias("parent"), "line", (F.col("at") < F.col("parent_count")).alias("inside"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1
+    own = parents.select(key, place.cast("long").alias("parent"), F.col("text").alias("expected"))
+    counted = apart.groupBy(key, "parent").agg(F.count("*").alias("c"), F.min("line").alias("line"), F.bool_and("inside").alias("inside"))
+    both = own.join(counted, [key, "parent"], "full_outer")
+    here = F.col("expected").isNotNull()
+    wrong = here & F.col("c").isNotNull() & (~F.col("inside") | (F.col("line") != F.col("expected")))
+    n = lambda c: F.count_if(c).cast("long")
+    return both.agg(n(here).alias("parents"), n(here & F.col("c").isNotNull()).alias("covered"), n(here & F.col("c").isNull()).cast("int").alias("missing"), n((F.col("c") > 1) | ~here).cast("int").alias("repeated"), n(wrong).cast("int").alias("out_of_order"))

@@ -193,7 +193,7 @@ def near_dedup_ordered(spark, d):
 SELECT doc_id, source FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT h FROM e)"""
 )
 def held_out_exclusion(spark, d):
-    """J5 J6"""
+    """J5; J6 without the near index."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     banned = table(spark, d, "benchmark").select(F.sha2("text", 256).alias("h")).union(docs.where("doc_id % 10 = 0").select("h"))
     return dedup.excluded(docs, banned, "h").select("doc_id", "source")
@@ -208,7 +208,7 @@ n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
 SELECT id AS doc_id, item_id, round(count(*) / any_value(n.n), 6) AS containment FROM g JOIN b USING (g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(n.n) >= 0.5"""
 )
 def benchmark_contamination(spark, d):
-    """D14 J7 J19"""
+    """D14"""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     held = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     return dedup.contained(docs, held).select(F.col("id").alias("doc_id"), F.col("held_id").alias("item_id"), F.round("containment", 6).alias("containment"))
@@ -343,7 +343,7 @@ def length_bins(spark, d):
 
 @query(f"WITH {_OFF} SELECT point, doc_id, point - offs AS inside FROM (SELECT CAST(unnest(range(0, (SELECT max(offs) FROM o), 9973)) AS BIGINT) AS point) JOIN o ON point >= offs AND point < offs + n")
 def document_lookup(spark, d):
-    """An as-of lookup of every 9973rd position before the last document; window_lookup has all windows."""
+    """An as-of lookup of every 9973rd position before the last document; window_lookup has all windows."""
     spans = sequence.offsets(_lengths(spark, d), "doc_id", "n").withColumnRenamed("offset", "start")
     points = spans.agg(F.max("start").alias("m")).where("m > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(9973).cast("long"))).alias("point"))
     return sequence.document_of(points, spans)
@@ -381,7 +381,7 @@ def encode_round_trip(spark, d):
 
 @query("WITH r AS (SELECT doc_id, source, length(coalesce(text, '')) AS n FROM documents), s AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS before FROM r) SELECT doc_id, source, CAST(before AS BIGINT) AS before FROM s WHERE before < 20000")
 def family_budget(spark, d):
-    """W13 W14 D2"""
+    """W13 D2"""
     docs = table(spark, d, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     caps = docs.select("source").distinct().withColumn("cap", F.lit(20000))
     return dedup.budgeted(docs, "source", ["doc_id"], "n", caps).select("doc_id", "source", "before")
@@ -436,7 +436,7 @@ def epoch_order(spark, d):
 SELECT doc_id, pool, batch, count(*) OVER (PARTITION BY batch) = 8 AS "full" FROM b"""
 )
 def sortish_batches(spark, d):
-    """O13 G8"""
+    """O13"""
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     return sampling.sortish(docs, "doc_id", "n_chars", 3, 8, 8).select("doc_id", F.col("pool").cast("long").alias("pool"), F.col("batch").cast("long").alias("batch"), "full")
 
@@ -455,7 +455,7 @@ def _scored(spark, d) -> DataFrame:
 
 @query(f"WITH {_SCORE}, c AS (SELECT {_COUNTS} FROM s) SELECT {_RATIOS.format(e='0.0')} FROM c")
 def confusion_metrics(spark, d):
-    """A12 A35 D7"""
+    """A12 A35"""
     return evaluation.confusion(_scored(spark, d), [], F.col("score") >= 0.9, F.col("quality") == 1)
 
 
@@ -503,7 +503,7 @@ _BITS = "b AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: C
 
 @query(f"WITH {_BITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM h) SELECT query_id, CAST(k AS INTEGER) AS rank, id, distance FROM r WHERE k <= 5")
 def hamming_neighbours(spark, d):
-    """J15 J16 J18 G9"""
+    """J15 J18"""
     b = _bits(spark, d)
     return evaluation.nearest(b.where("id % 10 = 0"), b, 5)
 
@@ -527,7 +527,7 @@ def overlap_neighbours(spark, d):
 
 @query("WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) SELECT CAST(pos AS INTEGER) AS pos, round(avg(CAST(x > 0 AS INTEGER)), 6) AS mean, round(sum(CAST(x > 0 AS INTEGER) * (label + 1)) / sum(label + 1), 6) AS weighted FROM e GROUP BY 1")
 def mean_item(spark, d):
-    """A17 J12"""
+    """A17"""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
     on = (F.col("x") > 0).cast("long")
     return e.groupBy("pos").agg(F.round(F.avg(on), 6).alias("mean"), F.round(F.sum(on * (F.col("label") + 1)) / F.sum(F.col("label") + 1), 6).alias("weighted"))
@@ -569,7 +569,7 @@ b AS (SELECT user_id, max(n) FILTER (period = 1) AS run, max(n + period) AS cyc
 SELECT user_id, n, round(coalesce(same / nullif(n - 1, 0), 0.0), 6) AS repeat_rate, coalesce(run, 0) + 1 AS longest_run, distinct_items, coalesce(cyc, 0) AS longest_cycle, coalesce(cyc, 0) >= 8 AS has_cycle FROM p LEFT JOIN b USING (user_id)"""
 )
 def event_repetition(spark, d):
-    """W18 A24 P14"""
+    """W18"""
     return sequence.repetition(table(spark, d, "events"), "user_id", "event_id", "event_type", 4, 8)
 
 
@@ -582,7 +582,7 @@ def row_contracts(spark, d):
 
 @query("SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'missing' WHEN a.source IS NULL THEN 'unexpected' ELSE 'different' END AS kind FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 2 = 0 GROUP BY 1) b ON a.source = b.source WHERE a.n IS DISTINCT FROM b.n")
 def manifest_differences(spark, d):
-    """J23 A5 V2 V13"""
+    """J23 A5 V2"""
     docs = table(spark, d, "documents")
     a = docs.where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
     b = docs.where("lang IN ('en', 'fr') AND doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("n"))
@@ -610,7 +610,7 @@ def uncovered_documents(spark, d):
 
 @query("SELECT event_type, event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def latest_by_kind(spark, d):
-    """S11 O17"""
+    """The last row of each kind, as of a log already read."""
     return checks.latest(table(spark, d, "events").select("event_type", "event_id", "user_id", "value"), "event_type", "event_id")
 
 
@@ -623,7 +623,7 @@ def retained_checkpoints(spark, d):
 
 @query("SELECT doc_id, round(CASE WHEN doc_id < 50 THEN 0.001 * (doc_id + 1) / 50 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * least(1.0, (doc_id - 50) / 950.0))) END, 9) AS lr FROM documents")
 def learning_rates(spark, d):
-    """W21 D20"""
+    """W21"""
     return table(spark, d, "documents").select("doc_id", F.round(evaluation.learning_rate(F.col("doc_id"), 50, 1000, 0.001, 0.0001), 9).alias("lr"))
 
 
@@ -699,7 +699,7 @@ def language_guess(spark, d):
 
 @query(r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
 def page_text(spark, d):
-    """D3 T5: the regular-expression form."""
+    """D3: the regular-expression form; op9 has the block rules."""
     x = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " "))
     return table(spark, d, "pages").select("page_id", F.sha2(x, 256).alias("digest"))
@@ -707,7 +707,7 @@ def page_text(spark, d):
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, sha256('Q: ' || text || ' A: ' || t2) AS pair FROM t WHERE role = 'user' AND r2 = 'assistant' AND text <> '' AND t2 <> ''")
 def turn_pairs(spark, d):
-    """T8 G2 on conversations"""
+    """Questions and answers of neighbouring turns, whole."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("r2"), F.lead("text").over(w).alias("t2"))
     return t.where("role = 'user' AND r2 = 'assistant' AND text <> '' AND t2 <> ''").select("conv_id", "turn", F.sha2(F.concat(F.lit("Q: "), "text", F.lit(" A: "), "t2"), 256).alias("pair"))

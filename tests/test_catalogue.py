@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, review  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
