@@ -63,10 +63,10 @@ def characters(x: Column) -> Column:
 def shingles(x: Column, n: int = 5) -> Column:
     """The set of n-character shingles; a shorter text is its own, an empty one the empty string.
 
-    The text is cut into characters once, so the work grows with its length."""
-    c = characters(x)
-    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (n - 1))), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
-    return F.array_distinct(own)
+    The text is cut into characters once, as the only element of an array that a lambda binds, so the work grows with its
+    length."""
+    of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (n - 1))), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    return F.array_distinct(F.transform(F.array(characters(x)), of)[0])
 
 
 def anchors(x: Column, n: int = 5, k: int = 8) -> Column:
