@@ -1,7 +1,9 @@
 """documents -> quality -> toxicity -> near duplicates -> packed sequences.
 
 Each stage works on all rows that the one before it kept, whole texts included; all but the last return the columns
-of documents. run() writes each result as Parquet into the shared folder and reads it again.
+of documents. run() writes each result as Parquet into the shared folder and reads it again. Null and empty texts are scored like
+any other, have no near duplicates and are packed as the closing token; rows with a null id stay unless a score rejects
+them; a repeated row stays once from the third stage on; further columns pass the filters unchanged.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("packing", packing)]
 
-#: SQL can't express the fitted classifiers; tests/llm compares every stage with a plain version instead.
+#: SQL can't express the fitted classifiers; tests/llm holds the stages' columns, that each returns rows of its input, and the share of
+#: clean and other labelled documents that stay. The near-duplicate and packing operators have plain versions there.
 ORACLE_SQL = None
 
 
