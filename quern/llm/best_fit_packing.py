@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, Grown, batches, cut, gathered, partitions, stored
+from .common import ChunkMemo, Grown, batches, cut, gathered, in_small_batches, partitions, stored
 
 
 #: Letters and then a run of these are two tokens' worth to the tokenizer.
@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
                 part = ids[start : start + 4 * capacity]
                 yield i, k, start // 4, len(part) // 4, zlib.crc32(part)
 
-    return docs.select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, rows(it)), PIECES)
+    return in_small_batches(docs).select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, rows(it)), PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

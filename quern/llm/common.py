@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Entries of a per-worker memo of words; at the limit it is emptied, so memory stays bounded.
 MEMO = 250_000
+#: Bytes of texts in an Arrow batch; a task holds several batches at a time, on both sides.
+BATCH = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 U = np.uint64
 
 
@@ -78,6 +81,14 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are bounded by BATCH from here on, unless it has a bound of its own."""
+    conf = texts.sparkSession.conf
+    if _BATCH_CONF not in conf.getAll:
+        conf.set(_BATCH_CONF, str(BATCH))
+    return texts
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,7 +105,7 @@ def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Itera
         yield batch(schema, held)
 
 
-def cut(texts: Iterator[tuple[object, bytes]], places: bytes, size: int = 1 << 21) -> Iterator[list[tuple[object, int, bytes]]]:
+def cut(texts: Iterator[tuple[object, bytes]], places: bytes, size: int = 1 << 17) -> Iterator[list[tuple[object, int, bytes]]]:
     """Groups of (key, number of the piece, piece) of about `size` bytes; texts longer than that are cut before a byte of `places` that follows another byte."""
     place = re.compile(rb"(?<![%s])[%s]" % (places, places)) if places else None
     held, total = [], 0

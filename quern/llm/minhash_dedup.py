@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, U, WordHashes, batches, components, dropped, free, mixed, partitions, shingle_set, stored, words
+from .common import Bloom, U, WordHashes, batches, components, dropped, free, in_small_batches, mixed, partitions, shingle_set, stored, words
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def signed(docs: DataFrame, policy: Policy) -> DataFrame:
                 marks = mixed(minhashes(found, k) ^ salt)
                 yield i, len(found), xxhash.xxh3_128_digest(found.tobytes()), (marks >> U(56)).astype(np.uint8).tobytes(), marks[:prefix].view(np.int64).tolist()
 
-    return docs.select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, rows(it), 1024), SIGNED)
+    return in_small_batches(docs).select("id", F.col("text").cast("binary")).mapInArrow(lambda it: batches(schema, rows(it), 1024), SIGNED)
 
 
 def forest(sigs: np.ndarray, t: int) -> list[tuple[int, int]]:

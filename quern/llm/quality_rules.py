@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, held_out
+from .common import free, held_out, in_small_batches
 
 #: Byte classes whose shares of a text are statistics.
 CLASSES = {
@@ -189,7 +189,7 @@ def trained(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], max_fit_r
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, dropped, held_out, stored
+from .common import U, batches, dropped, held_out, in_small_batches, stored
 
 BITS = 20
 ORDERS = (4, 5, 6, 7)
@@ -164,7 +164,7 @@ def trained(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], max_fit_r
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"), *fold)).groupBy("id").agg(F.max("y").alias("y"))
     half = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows // 2) for y in (0, 1)]
-    rows = docs.join(F.broadcast(half[0].union(half[1])), "id").select(F.col("text").cast("string").alias("text"), "y")
+    rows = in_small_batches(docs).join(F.broadcast(half[0].union(half[1])), "id").select(F.col("text").cast("string").alias("text"), "y")
     rows = stored(rows.repartition(16), "toxic-fit")
     model = fitted(rows)
     dropped(rows)
