@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import shingles as S
 from .dedup import checkpointed
 
-#: Characters of a side of a block that is confirmed, pairs of a list compared at a time (TILE rows with WIDTH), and ids
-#: of candidates that are broadcast at most.
-BLOCK, TILE, WIDTH, MOST = 1_000_000, 128, 2048, 1_000_000
+#: Characters and texts of a side of a block that is confirmed, pairs of a list compared at a time (TILE rows with WIDTH), ids of
+#: candidates that are broadcast at most, and rows of a list whose pairs are compared by whole profiles at once.
+BLOCK, SIDE, TILE, WIDTH, MOST, FEW = 1_000_000, 256, 128, 2048, 1_000_000, 64
 _PART = ["anchor", "bucket", "x", "y"]
 
 
@@ -86,7 +86,7 @@ def _alike(rows: pa.Table, shared: int, least: float) -> tuple[np.ndarray, np.nd
     own = np.arange(wide.shape[1])[None, :] < np.diff(ends, prepend=0)[:, None]
     wide[own] = flat.flatten().to_numpy()
     profiles = rows.column("profile").to_pylist()
-    coarse = S.folded(profiles, S.GROUPS).T.astype(np.int16 if size[-1] < 1 << 14 else np.int32, order="C")
+    coarse = S.folded(profiles, S.GROUPS).T.astype(np.int16 if size[-1] < 1 << 14 else np.int32, order="C") if len(ids) > FEW else ()
     fine = S.folded(profiles, min(map(len, profiles)))
     upto = np.searchsorted(size, np.floor(size / least + 1e-6).astype(np.int64), "right")
     slack = (1 - least) / (1 + least)  # sets of sizes p and q are as alike only if they differ by slack * (p + q) at most
@@ -95,18 +95,20 @@ def _alike(rows: pa.Table, shared: int, least: float) -> tuple[np.ndarray, np.nd
         i_end = min(i + TILE, len(ids))
         for j in range(i + 1, int(upto[i_end - 1]), WIDTH):
             j_end = min(j + WIDTH, int(upto[i_end - 1]))
-            apart = np.zeros((i_end - i, j_end - j), coarse.dtype)
-            for g in coarse:
-                apart += np.abs(g[i:i_end, None] - g[None, j:j_end])
-            may = apart <= slack * (size[i:i_end, None] + size[None, j:j_end]) + 1e-6
-            may &= (np.arange(j, j_end)[None, :] > np.arange(i, i_end)[:, None]) & (np.arange(j, j_end)[None, :] < upto[i:i_end, None])
+            may = (np.arange(j, j_end)[None, :] > np.arange(i, i_end)[:, None]) & (np.arange(j, j_end)[None, :] < upto[i:i_end, None])
             may &= ~(guest[i:i_end, None] & guest[None, j:j_end])
+            if len(coarse):
+                apart = np.zeros(may.shape, coarse.dtype)
+                for g in coarse:
+                    apart += np.abs(g[i:i_end, None] - g[None, j:j_end])
+                may &= apart <= slack * (size[i:i_end, None] + size[None, j:j_end]) + 1e-6
             p, q = np.nonzero(may)
             out.append((p + i, q + j))
     p, q = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
     kept = []
-    for k in range(0, len(p), 1 << 14):
-        u, v = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+    step = max(1, min(1 << 14, (1 << 22) // fine.shape[1]))
+    for k in range(0, len(p), step):
+        u, v = p[k : k + step], q[k : k + step]
         near = np.abs(fine[u] - fine[v]).sum(1, dtype=np.int64) <= slack * (size[u] + size[v]) + 1e-6
         both = ((wide[u][:, :, None] == wide[v][:, None, :]) & (wide[u] >= 0)[:, :, None]).any(2)
         first = wide[u, both.argmax(1)] == col["anchor"][0]
@@ -133,7 +135,7 @@ def candidates(own: DataFrame, shared: int = 2, least: float = 0.9) -> DataFrame
                 continue
             named = np.unique(np.concatenate([p, q]))
             block = np.zeros(len(rows), np.int32)
-            block[named] = np.cumsum(rows.column("length").to_numpy()[named].astype(np.int64)) // BLOCK
+            block[named] = np.cumsum(np.maximum(rows.column("length").to_numpy()[named].astype(np.int64), BLOCK // SIDE)) // BLOCK
             ids = rows.column("id").to_numpy()
             same = [np.repeat(rows.column(c).to_numpy()[:1], len(p)) for c in ("anchor", "bucket")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, block[p], block[q], np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]))], [*_PART, "a", "b"])
